@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import shard_tree
+from gleaner.llm import line_rules, shard_tree
 from gleaner.session import shared_dir, table
 
 
@@ -12,8 +12,13 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place(table(spark, sf_dir, "documents"), "doc_id", "text", shard_tree.even_tree(8))
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
+    "op9_line_rules": op9_line_rules,
 }
 
 SQL: dict[str, str] = {}
