@@ -7,9 +7,9 @@ Every line that has a word is judged on its own:
   words has none of ``. , ; : ! ?``;
 - navigation: separators (``|`` ``>``) stand alone in at least a fifth of the
   words, or a line of at most three words is made of menu words;
-- boilerplate: it holds a stock phrase (rights, cookies, licences, scripts), or
-  it equals an earlier line, or at least ``max_stutter`` of its words repeat the
-  word before.
+- boilerplate: it has at most ``boiler_words`` words and holds a stock phrase
+  (rights, cookies, licences, scripts), or it equals an earlier line, or at least
+  ``max_stutter`` of its words repeat the word before.
 
 Lines that fail are removed. A document is rejected if it has no words, if the
 removed lines held more than ``max_lost`` of its characters in words, or if it
@@ -55,6 +55,7 @@ class Rules:
     min_words: int = 50
     max_symbols: float = 0.3
     bare_words: int = 20
+    boiler_words: int = 25
     max_stutter: float = 0.3
     max_lost: float = 0.5
 
@@ -136,7 +137,7 @@ def examine(bounds: np.ndarray, data: np.ndarray, rules: Rules) -> tuple[dict[st
     if found:
         line = np.searchsorted(lines.start, np.array(found), "right") - 1
         line = line[(line >= 0) & (np.array(found) < lines.end[line])]
-        bad[line] |= some[line]
+        bad[line] |= some[line] & (words[line] <= rules.boiler_words)
     cum = _sums(chars)
     line_chars = cum[hi] - cum[lo]
     doc = lines.doc
