@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import line_rules, shard_tree
+from gleaner.llm import line_rules, merge_tree, record_files, shard_tree
 from gleaner.session import shared_dir, table
 
 
@@ -16,9 +19,23 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_tree.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    manifest = record_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = record_files.read(manifest).checkpoint()
+    record_files.remove(spark, out)  # the query returns what was read back
+    return rows
+
+
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
+    "op4_merge_tree": op4_merge_tree,
     "op9_line_rules": op9_line_rules,
+    "op10_record_files": op10_record_files,
 }
 
 SQL: dict[str, str] = {}
