@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import line_rules, merge_tree, record_files, shard_tree
+from gleaner.llm import line_rules, merge_tree, record_files, shard_tree, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -23,6 +23,11 @@ def op4_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_tree.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wu_manber.digests(wu_manber.occurrences(docs, table(spark, sf_dir, "benchmark"), width=10))
+
+
 def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
     manifest = record_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -34,6 +39,7 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
     "op4_merge_tree": op4_merge_tree,
+    "op5_wu_manber": op5_wu_manber,
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
 }
