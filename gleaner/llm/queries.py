@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import line_rules, merge_tree, record_files, shard_tree, wu_manber
+from gleaner.llm import line_rules, merge_tree, pivot_join, record_files, shard_tree, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -19,6 +19,10 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op3_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_join.join(table(spark, sf_dir, "documents"), pivot_join.Law(k=3, num=90, den=100))
+
+
 def op4_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_tree.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +42,7 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
+    "op3_pivot_join": op3_pivot_join,
     "op4_merge_tree": op4_merge_tree,
     "op5_wu_manber": op5_wu_manber,
     "op9_line_rules": op9_line_rules,
