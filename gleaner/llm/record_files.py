@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"GLREC1"
-MEMO = 250_000
+MEMO = 600_000
 MANIFEST = "part int, path string, first_id long, n_records long, n_tokens long"
 
 
@@ -161,9 +161,16 @@ class Encoder:
             new = {c for chunks in cut for c in chunks if c}
         found = {c: b for c in new if (b := self.older.get(c)) is not None}
         miss = [c for c in new if c not in found]
+        # a mark after a letter is a piece of its own: the word before it may be known
+        stems = {c: c[:-1] for c in miss if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() and c[-2].isascii()}
+        words = {*miss, *stems.values(), ".", ","} - stems.keys() if stems else set(miss)
+        known = {c: b for c in words if (b := self.memo.get(c) or found.get(c) or self.older.get(c)) is not None}
+        miss = [c for c in words if c not in known]
         for lo in range(0, len(miss), 4096):
             part = miss[lo : lo + 4096]
-            found.update(zip(part, self._library(part), strict=True))
+            known.update(zip(part, self._library(part), strict=True))
+        found.update(known)
+        found.update((c, known[stem] + known[c[-1]]) for c, stem in stems.items())
         long = {c: b for c, b in found.items() if len(c) > 64}
         self.memo.update(found)
         get = self.memo.__getitem__
