@@ -7,10 +7,18 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import line_rules, merge_tree, pivot_join, record_files, shard_tree, wu_manber
+from gleaner.llm import chat_tokens, line_rules, merge_tree, pivot_join, record_files, shard_tree, weak_toxicity, wu_manber
 from gleaner.session import shared_dir, table
 
 
+def op1_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_tokens.digests(chat_tokens.format_turns(turns, path), path)
+
+
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.place(table(spark, sf_dir, "documents"), "doc_id", "text", shard_tree.even_tree(8))
 
@@ -32,6 +40,11 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.digests(wu_manber.occurrences(docs, table(spark, sf_dir, "benchmark"), width=10))
 
 
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weak_toxicity.score(docs, weak_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
     manifest = record_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -41,10 +54,12 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_tokens": op1_chat_tokens,
     "op2_shard_tree": op2_shard_tree,
     "op3_pivot_join": op3_pivot_join,
     "op4_merge_tree": op4_merge_tree,
     "op5_wu_manber": op5_wu_manber,
+    "op6_weak_toxicity": op6_weak_toxicity,
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
 }
