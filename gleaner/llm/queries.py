@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import chat_tokens, line_rules, merge_tree, pivot_join, record_files, shard_tree, weak_toxicity, wu_manber
+from gleaner.llm import chat_tokens, co_training, line_rules, merge_tree, pivot_join, record_files, shard_tree, weak_toxicity, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -45,6 +45,11 @@ def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_toxicity.score(docs, weak_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return co_training.score(docs, co_training.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
     manifest = record_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_merge_tree": op4_merge_tree,
     "op5_wu_manber": op5_wu_manber,
     "op6_weak_toxicity": op6_weak_toxicity,
+    "op7_co_training": op7_co_training,
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
 }
