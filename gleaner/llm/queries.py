@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import chat_tokens, co_training, line_rules, merge_tree, pivot_join, record_files, shard_tree, weak_toxicity, wu_manber
+from gleaner.llm import brown_lm, chat_tokens, co_training, line_rules, merge_tree, pivot_join, record_files, shard_tree, weak_toxicity, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -50,6 +50,11 @@ def op7_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_training.score(docs, co_training.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown_lm.score(docs, brown_lm.fit(docs))
+
+
 def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
     manifest = record_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_wu_manber": op5_wu_manber,
     "op6_weak_toxicity": op6_weak_toxicity,
     "op7_co_training": op7_co_training,
+    "op8_brown_lm": op8_brown_lm,
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
 }
