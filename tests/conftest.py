@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from gleaner.session import local_session  # noqa: E402
+
+# made before tests are collected, as columns in their parameters need a session
+SESSION = local_session(4, 4)
+SESSION.sparkContext.setLogLevel("ERROR")
+
 
 @pytest.fixture(scope="session")
 def spark():
-    from gleaner.session import local_session
-
-    session = local_session(4, 4)
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    yield SESSION
+    SESSION.stop()
