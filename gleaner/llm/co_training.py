@@ -98,7 +98,7 @@ def metadata(bounds: np.ndarray, data: np.ndarray, lang: list, source: list, sta
     ends = np.isin(data[lines.end - 1], list(b".!?\"')")) if len(size) else np.zeros(0, bool)
     doubled = np.zeros(len(size), bool)
     if len(size):
-        doubled = (data[lines.end - 1] == 0x21) & (data[np.maximum(lines.end - 2, 0)] == 0x21)
+        doubled = (size > 1) & (data[lines.end - 1] == 0x21) & (data[np.maximum(lines.end - 2, 0)] == 0x21)
     key = W.mix(lines.hash ^ W.mix(lines.doc.astype(np.uint64) + np.uint64(7)))
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(key), bool)

@@ -114,6 +114,7 @@ def examine(bounds: np.ndarray, data: np.ndarray, rules: Rules) -> tuple[dict[st
     doubled = np.zeros(len(data), bool)
     if len(data) > 1:
         doubled[1:] = (data[1:] == 0x21) & (data[:-1] == 0x21)
+        doubled[bounds[:-1][bounds[:-1] < len(data)]] = False
     marks = at(_sums(MARKS[data]))
     noise = at(symbols) + at(_sums(doubled))
     lone = np.zeros(len(w.start), bool)
