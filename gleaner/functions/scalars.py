@@ -79,6 +79,7 @@ def artist_score(a_key: Column, b_key: Column, a_words: Column, b_words: Column)
     return F.when(inside, 1.0).otherwise(match_score(a_words, b_words))
 
 
+#: Patterns of variant marks, decoration and upload noise in titles. Fixed values.
 _MARK = r"re-?mix(?:ed)?|live|acoustic|instrumental"
 _DECORATION = (
     r"(?iu)\bslowed(?:\s*[+&]\s*|\s+and\s+)reverb\b|\bsped[\s-]?up\b|\bslowed(?:\s+down)?\b|\breverb\b|\bnightcore\b"

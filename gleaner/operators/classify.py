@@ -12,6 +12,7 @@ from gleaner.functions import scalars as S
 #: Words of a live recording, and of a remix, in a name. Fixed values.
 LIVE = ("boiler room", "live @", "live at", "dj set", "essential mix", "usb00", "b2b", "mixmag", "cercle")
 REMIX = ("remix", "re-mix", "edit", "vip", "flip", "dub", "bootleg", "live", "acoustic", "instrumental", "version", "sped up", "slowed", "nightcore")
+#: Patterns of faulty names. Fixed values.
 GENERIC = r"(?i)^(?:track|audiotrack|audio|song|sound|recording|videoplayback|untitled|new recording|voice)[\s._-]*\d*$"
 HEX = r"^[0-9a-fA-F_-]{1,16}$"
 LEADING_TRACK = r"(?i)^(?:(?:cd|disc)?\s*\d{1,2}[-._\s]+|\d{1,3}[\s._-]+|\d{1,3}\s+).*$"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
 
+#: Patterns of timed text and of credit lines. Fixed values.
 STAMP = r"\[(\d+):(\d+(?:\.\d+)?)\]"
 LEADING = r"^(?:\s*\[\d{1,3}:\d{1,2}(?:[.:]\d{1,3})?\])+"
 LEADING_ONE = r"\[(\d{1,3}):(\d{1,2})(?:[.:](\d{1,3}))?\]"
