@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import scalars
+
 
 def duration_gap(a: Column, b: Column) -> Column:
     """Absolute difference; null where a side is missing or zero."""
@@ -38,6 +40,23 @@ def accept_hit(title: Column, artist: Column, exact: Column, gap: Column) -> Col
     return exact | ((title >= 0.6) & ~far & ((F.coalesce(artist, F.lit(0.0)) >= 0.3) | near))
 
 
+def token_pairs(df: DataFrame, key: str, block: str, words: str, least: float) -> DataFrame:
+    """(a, b, score) of rows of a block, a < b, whose word lists score at least ``least``.
+
+    Distinct word lists of a block are scored once; rows join the pairs that passed, so
+    copies of a name cost no comparisons. With a positive ``least`` lists must share a
+    word, so lists meet on words, not on the block alone.
+    """
+    lists = df.select(block, F.col(words).alias("w")).distinct()
+    each = lists.select(block, "w", F.explode(F.array_distinct("w")).alias("token"))
+    a, b = (each.select(block, "token", F.col("w").alias(x)) for x in ("wa", "wb"))
+    met = a.join(b, [block, "token"]).where("wa <= wb").select(block, "wa", "wb").distinct()
+    scored = met.withColumn("score", scalars.match_score(F.col("wa"), F.col("wb"))).where(F.col("score") >= least)
+    left, right = (df.select(block, F.col(words).alias(w), F.col(key).alias(x)) for w, x in (("wa", "x"), ("wb", "y")))
+    both = scored.join(left, [block, "wa"]).join(right, [block, "wb"]).where("wa <> wb or x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
 def prioritized(sources: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
     """The row of the first source that has the key; within a source by ``order``."""
     both = None

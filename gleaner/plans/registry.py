@@ -110,9 +110,7 @@ FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
 SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.5""")
 def part_token_match(t):
     w = t("part").select("p_partkey", "p_brand", S.words(F.lower("p_name")).alias("q"))
-    a, b = (w.select(c("p_partkey").alias(x), "p_brand", c("q").alias(f"q{x}")) for x in "ab")
-    both = a.join(b, "p_brand").where("a < b").withColumn("score", S.match_score(c("qa"), c("qb")))
-    return both.where("score >= 0.5").select("a", "b", F.round("score", 6).alias("score"))
+    return match.token_pairs(w, "p_partkey", "p_brand", "q", 0.5).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH x AS (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey),
