@@ -13,14 +13,18 @@ at least ``num/den`` (distance at most t). Steps:
    the smallest of them is the pivot of all. A region is a pivot and all sets that
    have it as a pivot in some part: both ends of every link share a region. Parts
    with few elements are left out as far as the counts guarantee another.
-3. Regions. In a region, further pivots (each the farthest from those before) form
+3. Sketches. A set's shingles counted in ``BUCKETS`` hash buckets keep a metric, the
+   sum of maxima less minima over the sum of maxima, that is never above the sets'
+   distance. Members of a region with no other member within t by it are left out
+   before any set is moved.
+4. Regions. In a region, further pivots (each the farthest from those before) form
    Voronoi cells. A set goes to the cell of its nearest pivot and to every cell
    whose pivot is at most 2t farther, so both ends of a link meet in a cell. Cells
    are joined recursively. Where cells don't shrink, each member is compared with
    those in its triangle window: |d(x, p) - d(y, p)| <= t for all pivots p.
    Regions of over ``block`` sets are dealt into pairs of blocks by hash: every pair
    of sets meets in a task, and a task holds at most two blocks.
-4. Links that join two trees are kept, and components found from them.
+5. Links that join two trees are kept, and components found from them.
 
 All comparisons are exact on 64-bit shingle hashes; nothing is sampled or capped.
 Many copies of a text meet in one node before any comparison.
@@ -47,6 +51,7 @@ from gleaner.llm import words as W
 from gleaner.llm.components import components
 from gleaner.session import shared_dir
 
+BUCKETS = 1024
 #: Member lists of at most this many nodes are sent to all executors to pick texts (32 MB of ids).
 BROADCAST_NODES = 4_000_000
 
@@ -172,6 +177,15 @@ def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[p
             some = size > 0
             if what == "sizes":
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(name, mask=~some)], ["doc_id", "n", "node"])
+            elif what == "sketches":
+                doc = np.repeat(np.arange(hi - lo), size)
+                slot = doc * BUCKETS + (W.mix(h + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(54)).astype(np.int64)
+                counts = np.bincount(slot, minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS)
+                raw = counts.astype("<u2")
+                # a sketch that two bytes can't count is null and leaves nothing out
+                blobs = [raw[i].tobytes() if counts[i].max() < 1 << 16 else None for i in range(hi - lo)]
+                rows = pa.RecordBatch.from_arrays([pa.array(name), pa.array(blobs, pa.binary())], ["node", "hashes"])
+                yield rows.filter(pa.array(some))
             elif what == "sets":
                 raw = h.tobytes()
                 blobs = [raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -274,34 +288,85 @@ class Region:
                 self.measure(int(ids[i]), ids[rest])
 
 
-def _regions(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, i, j): each run is a task's sets; links come out."""
-    key, members, out = None, [], []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """Rows (p, i, j, block, node, blob) sorted by (p, i, j) -> the members of each task."""
+    key, members = None, []
+    for batch in batches:
+        for p, i, j, block, node, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            if (p, i, j) != key:
+                if len(members) > 1:
+                    yield key, members
+                key, members = (p, i, j), []
+            members.append((node, blob, block))
+    if len(members) > 1:
+        yield key, members
+
+
+def near_by_sketch(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> np.ndarray:
+    """Which sets have another one (of another block, if part is given) within t by their sketches."""
+    size = sketches.sum(1, dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    h, size = sketches[order], size[order]
+    block = None if part is None else part[order]
+    near = np.zeros(len(size), bool)
+    for a in range(len(size) - 1):
+        top = int(np.searchsorted(size, size[a] * law.den // law.num, "right"))
+        rest = np.arange(a + 1, top)
+        if block is not None:
+            rest = rest[block[rest] != block[a]]
+        if near[a]:
+            rest = rest[~near[rest]]
+        if not len(rest):
+            continue
+        both = np.minimum(h[a], h[rest]).sum(1, dtype=np.int64)
+        hit = rest[law.den * both >= law.num * (size[a] + size[rest] - both)]
+        near[hit] = True
+        near[a] |= len(hit) > 0
+    out = np.zeros(len(size), bool)
+    out[order] = near
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
+    """Members that a sketch does not exclude."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    out: list[tuple] = []
+
+    def full() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["p", "i", "j", "block", "node"])
+        out.clear()
+        return rows
 
-    def close() -> None:
+    for key, members in _runs(batches):
         nodes, blobs, block = zip(*members, strict=True)
-        part = None if key[1] == key[2] else np.array(block)
-        region = Region(list(blobs), law, part)
-        # the pivot is the smallest node, and the first pivot of its region
-        region.join(np.argsort(np.array(nodes), kind="stable"))
-        out.extend((nodes[x], nodes[y]) for x, y in region.links)
+        if None in blobs:
+            keep = np.ones(len(nodes), bool)
+        else:
+            keep = near_by_sketch(np.frombuffer(b"".join(blobs), "<u2").reshape(-1, BUCKETS), law, None if key[1] == key[2] else np.array(block))
+        out.extend((*key, block[x], nodes[x]) for x in np.flatnonzero(keep).tolist())
+        if len(out) > 8192:
+            yield full()
+    if out:
+        yield full()
+
+
+def _regions(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
+    """Each task's sets -> links."""
+    out: list[tuple[int, int]] = []
 
     def full() -> pa.RecordBatch:
         rows = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
         out.clear()
         return rows
 
-    for batch in batches:
-        for p, i, j, block, node, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if (p, i, j) != key:
-                if len(members) > 1:
-                    close()
-                key, members = (p, i, j), []
-            members.append((node, blob, block))
-        if out:
+    for key, members in _runs(batches):
+        nodes, blobs, block = zip(*members, strict=True)
+        region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block))
+        # the pivot is the smallest node, and the first pivot of its region
+        region.join(np.argsort(np.array(nodes), kind="stable"))
+        out.extend((nodes[x], nodes[y]) for x, y in region.links)
+        if len(out) > 8192:
             yield full()
-    if len(members) > 1:
-        close()
     if out:
         yield full()
 
@@ -319,14 +384,19 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     # a set of block b goes to the tasks (b, j) and (i, b)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = members.select("p", "node", "block", other.alias("o")).select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
-    # the texts of one document for each node of a region
-    wanted = edges.select("node").unionByName(edges.select(F.col("p").alias("node"))).distinct()
-    picked = sizes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("pick")).select("pick").distinct().checkpoint()
-    few = picked.count() <= BROADCAST_NODES
-    texts = rows.join(F.broadcast(picked) if few else picked, F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi").select("text")
-    blobs = texts.mapInArrow(lambda b: _nodes(b, law, "sets"), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    dealt = tasks.join(blobs, "node").select("p", "i", "j", "block", "node", "hashes").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
-    return dealt.mapInArrow(lambda b: _regions(b, law), "a long, b long").checkpoint()
+    def blobs(of: DataFrame, what: str) -> DataFrame:
+        """(node, hashes) from the texts of one document for each node."""
+        picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("pick")).select("pick").distinct().checkpoint()
+        few = picked.count() <= BROADCAST_NODES
+        texts = rows.join(F.broadcast(picked) if few else picked, F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi").select("text")
+        return texts.mapInArrow(lambda b: _nodes(b, law, what), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+    def dealt(of: DataFrame, what: str) -> DataFrame:
+        met = of.join(blobs(of, what), "node").select("p", "i", "j", "block", "node", "hashes")
+        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
+
+    left = dealt(tasks, "sketches").mapInArrow(lambda b: _near(b, law), "p long, i int, j int, block int, node long").checkpoint()
+    return dealt(left, "sets").mapInArrow(lambda b: _regions(b, law), "a long, b long").checkpoint()
 
 
 def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:

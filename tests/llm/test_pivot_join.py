@@ -86,6 +86,22 @@ def test_recursion_equals_pairs(monkeypatch):
     assert [find(i) for i in range(len(sets))] == [region.root(i) for i in range(len(sets))]
 
 
+def test_sketches_never_leave_out_a_link():
+    r = np.random.default_rng(2)
+    law = pj.Law(3, 80, 100)
+    base = np.unique(r.integers(0, 2**62, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[: int(r.integers(150, 400))], r.integers(0, 2**62, int(r.integers(0, 60)), dtype=np.uint64)))) for _ in range(80)]
+    sketch = np.array([np.bincount((pj.W.mix(s) >> np.uint64(56)).astype(int), minlength=256) for s in sets], "<u2")
+    part = r.integers(0, 2, 80)
+    for blocks in (None, part):
+        near = pj.near_by_sketch(sketch, law, blocks)
+        for i in range(80):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c) and (blocks is None or blocks[i] != blocks[j]):
+                    assert near[i] and near[j]
+
+
 def test_keep_one_and_empty(spark):
     rows = corpus(120, 3)
     df = spark.createDataFrame([(i, t, "src") for i, t in rows] + [(None, "null id here", "x")], "doc_id long, text string, component_id string")
