@@ -86,7 +86,8 @@ def descend(df: DataFrame, key: Column, tree: tuple[Shard, ...], prefix: str = "
         return out
 
     df = df.withColumn(rack, below("rack", "region", region))
-    return df.withColumn(shard, below("shard", "rack", rack))
+    # never null: joins on it add no filter, so plans over one table stay alike and share their exchange
+    return df.withColumn(shard, F.coalesce(below("shard", "rack", rack), F.lit(-1)))
 
 
 def key_of(column: Column) -> Column:
@@ -113,7 +114,8 @@ def place(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: t
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     key = key_of(F.col("doc_id"))
     placed = descend(descend(counted, key, tree), key, grown(tree), "grown_")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    digest = F.md5(F.concat_ws(":", F.lit("bucket"), key, F.col("size").cast("string"), F.col("text_crc32").cast("string")))
+    placed = placed.withColumn("bucket", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).withColumn("bucket", F.coalesce("bucket", F.lit(0).cast("long")))
     cells = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("cell_rows"))
     by_shard = "sum(cell_rows) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding)"
     offsets = cells.select("shard", "bucket", F.coalesce(F.expr(by_shard), F.lit(0)).alias("offset"))
