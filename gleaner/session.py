@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import site
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,25 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, unless they find it where it is.
+
+    They do where it is installed, where PYTHONPATH names its folder, and in local
+    mode in the working folder. Otherwise a zip goes with the application, once.
+    """
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages(), *([os.getcwd()] if context.master.split("[")[0] == "local" else [])]
+    if any(k and Path(k).resolve() == root for k in known) or getattr(ship, "done", None) == context.applicationId:
+        return
+    folder = tempfile.mkdtemp(prefix="gleaner-")
+    context.addPyFile(shutil.make_archive(f"{folder}/gleaner", "zip", root, "gleaner"))
+    ship.done = context.applicationId
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -34,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
     unset (tests, a laptop) a local folder is made and set.
     """
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(shared_dir, "own", None)
