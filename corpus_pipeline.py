@@ -18,12 +18,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import co_training, line_rules, merge_tree, pivot_join, wu_manber
-from gleaner.session import shared_dir, table
+from gleaner.session import shared_dir, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return line_rules.clean(docs.select(*COLUMNS))
 
 
@@ -43,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return merge_tree.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
