@@ -15,8 +15,9 @@ at least ``num/den`` (distance at most t). Steps:
    with few elements are left out as far as the counts guarantee another.
 3. Sketches. A set's shingles counted in ``BUCKETS`` hash buckets keep a metric, the
    sum of maxima less minima over the sum of maxima, that is never above the sets'
-   distance. Members of a region with no other member within t by it are left out
-   before any set is moved.
+   distance. So links by sketches contain all links, and both ends of a link are in
+   one component of the regions' sketch links: these components are the regions that
+   sets move to, each set to one. Members without a sketch link move nowhere.
 4. Regions. In a region, further pivots (each the farthest from those before) form
    Voronoi cells. A set goes to the cell of its nearest pivot and to every cell
    whose pivot is at most 2t farther, so both ends of a link meet in a cell. Cells
@@ -51,7 +52,7 @@ from gleaner.llm import words as W
 from gleaner.llm.components import components
 from gleaner.session import shared_dir
 
-BUCKETS = 1024
+BUCKETS = 512
 #: Member lists of at most this many nodes are sent to all executors to pick texts (32 MB of ids).
 BROADCAST_NODES = 4_000_000
 
@@ -179,11 +180,11 @@ def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[p
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(name, mask=~some)], ["doc_id", "n", "node"])
             elif what == "sketches":
                 doc = np.repeat(np.arange(hi - lo), size)
-                slot = doc * BUCKETS + (W.mix(h + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(54)).astype(np.int64)
+                slot = doc * BUCKETS + (W.mix(h + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64)
                 counts = np.bincount(slot, minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS)
-                raw = counts.astype("<u2")
-                # a sketch that two bytes can't count is null and leaves nothing out
-                blobs = [raw[i].tobytes() if counts[i].max() < 1 << 16 else None for i in range(hi - lo)]
+                raw = counts.astype(np.uint8)
+                # a sketch that a byte can't count is null and excludes nothing
+                blobs = [raw[i].tobytes() if counts[i].max() < 256 else None for i in range(hi - lo)]
                 rows = pa.RecordBatch.from_arrays([pa.array(name), pa.array(blobs, pa.binary())], ["node", "hashes"])
                 yield rows.filter(pa.array(some))
             elif what == "sets":
@@ -302,63 +303,56 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
         yield key, members
 
 
-def near_by_sketch(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> np.ndarray:
-    """Which sets have another one (of another block, if part is given) within t by their sketches."""
+def sketch_links(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> list[tuple[int, int]]:
+    """A forest of the pairs within t by their sketches (of different blocks, if part is given)."""
     size = sketches.sum(1, dtype=np.int64)
     order = np.argsort(size, kind="stable")
     h, size = sketches[order], size[order]
     block = None if part is None else part[order]
-    near = np.zeros(len(size), bool)
+    comp = np.arange(len(size))
+    out = []
     for a in range(len(size) - 1):
         top = int(np.searchsorted(size, size[a] * law.den // law.num, "right"))
         rest = np.arange(a + 1, top)
+        rest = rest[comp[rest] != comp[a]]
         if block is not None:
             rest = rest[block[rest] != block[a]]
-        if near[a]:
-            rest = rest[~near[rest]]
         if not len(rest):
             continue
         both = np.minimum(h[a], h[rest]).sum(1, dtype=np.int64)
-        hit = rest[law.den * both >= law.num * (size[a] + size[rest] - both)]
-        near[hit] = True
-        near[a] |= len(hit) > 0
-    out = np.zeros(len(size), bool)
-    out[order] = near
+        for x in rest[law.den * both >= law.num * (size[a] + size[rest] - both)].tolist():
+            if comp[x] != comp[a]:
+                comp[comp == comp[x]] = comp[a]
+                out.append((int(order[a]), int(order[x])))
     return out
 
 
 def _near(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
-    """Members that a sketch does not exclude."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    out: list[tuple] = []
-
-    def full() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["p", "i", "j", "block", "node"])
-        out.clear()
-        return rows
-
+    """Each task's sketches -> links by sketches."""
+    out: list[tuple[int, int]] = []
     for key, members in _runs(batches):
         nodes, blobs, block = zip(*members, strict=True)
         if None in blobs:
-            keep = np.ones(len(nodes), bool)
+            out.extend((nodes[0], x) for x in nodes[1:])
         else:
-            keep = near_by_sketch(np.frombuffer(b"".join(blobs), "<u2").reshape(-1, BUCKETS), law, None if key[1] == key[2] else np.array(block))
-        out.extend((*key, block[x], nodes[x]) for x in np.flatnonzero(keep).tolist())
+            sketches = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, BUCKETS)
+            out.extend((nodes[x], nodes[y]) for x, y in sketch_links(sketches, law, None if key[1] == key[2] else np.array(block)))
         if len(out) > 8192:
-            yield full()
+            yield _pairs(out)
     if out:
-        yield full()
+        yield _pairs(out)
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+    out.clear()
+    return rows
 
 
 def _regions(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
     """Each task's sets -> links."""
     out: list[tuple[int, int]] = []
 
-    def full() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-        out.clear()
-        return rows
-
     for key, members in _runs(batches):
         nodes, blobs, block = zip(*members, strict=True)
         region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block))
@@ -366,9 +360,9 @@ def _regions(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordB
         region.join(np.argsort(np.array(nodes), kind="stable"))
         out.extend((nodes[x], nodes[y]) for x, y in region.links)
         if len(out) > 8192:
-            yield full()
+            yield _pairs(out)
     if out:
-        yield full()
+        yield _pairs(out)
 
 
 def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024) -> DataFrame:
@@ -378,12 +372,15 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     pivots = parts.select("node", F.expr("min(node) over (partition by sig)").alias("p")).where("node <> p")
     edges = pivots.distinct().checkpoint()
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
-    count = edges.groupBy("p").agg((F.count(F.lit(1)) + 1).alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    members = members.join(count, "p").select("p", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    # a set of block b goes to the tasks (b, j) and (i, b)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = members.select("p", "node", "block", other.alias("o")).select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
+
+    def tasks(of: DataFrame) -> DataFrame:
+        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b)."""
+        count = of.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        placed = of.join(count, "p").select("p", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        placed = placed.select("p", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        return placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
+
     def blobs(of: DataFrame, what: str) -> DataFrame:
         """(node, hashes) from the texts of one document for each node."""
         picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("pick")).select("pick").distinct().checkpoint()
@@ -395,8 +392,9 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
         met = of.join(blobs(of, what), "node").select("p", "i", "j", "block", "node", "hashes")
         return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
 
-    left = dealt(tasks, "sketches").mapInArrow(lambda b: _near(b, law), "p long, i int, j int, block int, node long").checkpoint()
-    return dealt(left, "sets").mapInArrow(lambda b: _regions(b, law), "a long, b long").checkpoint()
+    near = components(dealt(tasks(members), "sketches").mapInArrow(lambda b: _near(b, law), "a long, b long"))
+    regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
+    return dealt(tasks(regions), "sets").mapInArrow(lambda b: _regions(b, law), "a long, b long").checkpoint()
 
 
 def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
