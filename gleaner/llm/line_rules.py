@@ -133,11 +133,15 @@ def examine(bounds: np.ndarray, data: np.ndarray, rules: Rules) -> tuple[dict[st
         | (stuttered[hi] - stuttered[lo] >= rules.max_stutter * words)
         | again
     )
-    text = data.tobytes().translate(W.LOWER_BYTES)
+    # a break between documents, so that no match begins or ends by what its neighbours hold
+    cuts = bounds[1:-1]
+    text = np.insert(data, cuts, 0x0A).tobytes().translate(W.LOWER_BYTES)
     found = [m.start() for m in _PHRASE.finditer(text)] + [m.start(1) for m in _MENU.finditer(text)]
     if found:
-        line = np.searchsorted(lines.start, np.array(found), "right") - 1
-        line = line[(line >= 0) & (np.array(found) < lines.end[line])]
+        places = np.array(found)
+        places -= np.searchsorted(cuts + np.arange(len(cuts)), places)
+        line = np.searchsorted(lines.start, places, "right") - 1
+        line = line[(line >= 0) & (places < lines.end[line])]
         bad[line] |= some[line] & (words[line] <= rules.boiler_words)
     cum = _sums(chars)
     line_chars = cum[hi] - cum[lo]

@@ -75,3 +75,15 @@ def test_boilerplate_lines_go(spark, line):
     good = prose(80, 9)
     df = spark.createDataFrame([(1, line + "\n" + good)], "doc_id long, text string")
     assert lr.clean(df).collect()[0].text == good
+
+
+def test_lines_are_judged_apart_from_neighbouring_documents():
+    good = prose(60, 5)
+    texts = ["Home About\n" + good, good, "", "Home About\n" + good + "\nShare", good + "\nRead", "more of this. " + good, None, "Search"]
+
+    def bad(column):
+        return [int(x) for _, _, bounds, data in lr.W.groups(column) for x in lr.examine(bounds, data, lr.Rules())[0]["n_bad_lines"]]
+
+    alone = [bad(pa.array([t], pa.string()))[0] for t in texts]
+    assert alone == [1, 0, 0, 2, 0, 0, 0, 1]
+    assert bad(pa.array(texts)) == alone and bad(pa.array(texts[::-1])) == alone[::-1]
