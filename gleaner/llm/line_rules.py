@@ -11,7 +11,8 @@ Every line that has a word is judged on its own:
   (rights, cookies, licences, scripts), or it equals an earlier line, or at least
   ``max_stutter`` of its words repeat the word before.
 
-Lines that fail are removed. A document is rejected if it has no words, if the
+Lines that fail are removed, each with one line feed: the one after it, or the one
+before it where it ends the text; all others stay. A document is rejected if it has no words, if the
 removed lines held more than ``max_lost`` of its characters in words, or if it
 fails the base rule (fewer than ``min_words`` words, or more than half of its
 words in repeated 3-word windows).
@@ -165,10 +166,16 @@ def examine(bounds: np.ndarray, data: np.ndarray, rules: Rules) -> tuple[dict[st
 
 
 def _without(bounds: np.ndarray, data: np.ndarray, lines: W.Words, bad: np.ndarray) -> list[str]:
-    """The texts without their bad lines, each with the break after it."""
+    """The texts without their bad lines, each with one break: that after it, or before it at the text's end."""
     keep = np.ones(len(data) + 1, bool)
     for s, e in zip(lines.start[bad], lines.end[bad], strict=True):
-        keep[s : e + 1] = False
+        keep[s:e] = False
+    stop = bounds[lines.doc[bad] + 1]
+    keep[lines.end[bad][lines.end[bad] < stop]] = False
+    for lo, hi in zip(bounds[lines.doc[bad]][lines.end[bad] == stop], stop[lines.end[bad] == stop], strict=True):
+        left = np.flatnonzero(keep[lo:hi])
+        if len(left):  # what is left before a bad last line ends in a break
+            keep[lo + left[-1]] = False
     gone = _sums(keep[: len(data)])
     at = gone[bounds]
     left = data[keep[: len(data)]].tobytes()
@@ -182,31 +189,13 @@ def _run(batches: Iterator[pa.RecordBatch], rules: Rules, texts: bool) -> Iterat
             columns = [batch.column(i).slice(lo, hi - lo) for i in range(1, batch.num_columns)]
             names = batch.schema.names[1:]
             if texts:
-                # the break after a bad line belongs to the same document or is none
-                last = np.isin(lines.end, bounds[1:])
-                kept = got["kept"]
-                cut = _without(np.asarray(bounds), data, lines, bad & ~last) if not (bad & last).any() else _careful(bounds, data, lines, bad)
-                keep = pa.array(kept)
-                rows = [c.filter(keep) for c in [pa.array(cut, pa.string()), *columns]]
+                keep = pa.array(got["kept"])
+                rows = [c.filter(keep) for c in [pa.array(_without(bounds, data, lines, bad), pa.string()), *columns]]
                 yield pa.RecordBatch.from_arrays(rows, ["__text", *names])
             else:
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v) for v in got.values())], [*names, *got])
 
 
-def _careful(bounds: np.ndarray, data: np.ndarray, lines: W.Words, bad: np.ndarray) -> list[str]:
-    """As _without, where a document's last line may be bad: the break before it goes instead."""
-    out = []
-    for i in range(len(bounds) - 1):
-        s = slice(lines.first[i], lines.first[i + 1])
-        flags = bad[s]
-        if not flags.any():
-            out.append(data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace"))
-            continue
-        spans = [data[a:b].tobytes() for a, b in zip(lines.start[s][~flags], lines.end[s][~flags], strict=True)]
-        out.append(b"\n".join(spans).decode("utf-8", "replace"))
-    return out
-
-
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """A row for each row of df: its id as doc_id, the counts, base_failed and kept."""
     kind = df.schema[id_col].dataType.simpleString()

@@ -87,3 +87,21 @@ def test_lines_are_judged_apart_from_neighbouring_documents():
     alone = [bad(pa.array([t], pa.string()))[0] for t in texts]
     assert alone == [1, 0, 0, 2, 0, 0, 0, 1]
     assert bad(pa.array(texts)) == alone and bad(pa.array(texts[::-1])) == alone[::-1]
+
+
+def test_cleaning_keeps_other_breaks_whatever_the_batch(spark):
+    a, b = prose(60, 6), prose(60, 7)
+    texts = {
+        1: (a + "\n\n" + b + "\n", a + "\n\n" + b + "\n"),
+        2: ("Home\n" + a + "\n\n" + b + "\n", a + "\n\n" + b + "\n"),
+        3: (a + "\n\n" + b + "\nShare", a + "\n\n" + b),
+        4: (a + "\n\nHome\n\n" + b + "\nShare\nLogin", a + "\n\n\n" + b),
+        5: ("\n" + a + "\n\nRead more", "\n" + a + "\n"),
+        6: ("Share\n" + a, a),
+        7: (a, a),
+    }
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    want = {i: t for i, (_, t) in texts.items()}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        assert {r.doc_id: r.text for r in lr.clean(df).collect()} == want
