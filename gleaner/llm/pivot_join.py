@@ -25,7 +25,9 @@ at least ``num/den`` (distance at most t). Steps:
    those in its triangle window: |d(x, p) - d(y, p)| <= t for all pivots p.
    Regions of over ``block`` sets are dealt into pairs of blocks by hash: every pair
    of sets meets in a task, and a task holds at most two blocks.
-5. Links that join two trees are kept, and components found from them.
+5. Every link between different sets is kept once; those that join two trees are
+   marked, and components found from them. A document's links are those of its set,
+   each counted by the copies of the other set, and the other copies of its own.
 
 All comparisons are exact on 64-bit shingle hashes; nothing is sampled or capped.
 Many copies of a text meet in one node before any comparison.
@@ -202,12 +204,12 @@ def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[p
 
 
 class Region:
-    """Sets of one task, with exact distances and a union-find over their links."""
+    """Sets of one task, with exact distances, their links and the components of these."""
 
     LEAF, PIVOTS = 48, 8
 
-    def __init__(self, blobs: list[bytes], law: Law, part: np.ndarray | None = None):
-        """part: block of each set; if given, only pairs of different blocks are wanted."""
+    def __init__(self, blobs: list[bytes], law: Law, part: np.ndarray | None = None, every: bool = True):
+        """part: block of each set; if given, only pairs of different blocks are wanted. every: or a forest of the links."""
         self.law, self.t = law, 1 - law.share
         lengths = np.array([len(b) // 8 for b in blobs])
         flat = np.frombuffer(b"".join(blobs), np.uint64)
@@ -216,15 +218,21 @@ class Region:
         self.col = col.astype(np.int32)
         self.mark = np.zeros(len(uniq), np.uint8)
         self.part = part
-        self.parent = list(range(len(blobs)))
-        self.links: list[tuple[int, int]] = []
+        self.every = every
+        self.comp = np.arange(len(blobs))
+        self.tree: list[int] = []  # links as smaller * sets + larger
+        self.found: list[np.ndarray] = []
+        self.held = 0
 
     def root(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
+        return int(self.comp[x])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two ends of each link, and whether it is one of the forest."""
+        tree = np.array(self.tree, np.int64)
+        code = np.unique(np.concatenate((*self.found, tree)))
+        n = len(self.size)
+        return code // n, code % n, np.isin(code, tree)
 
     def common(self, y: int, ids: np.ndarray) -> np.ndarray:
         """|y & x| for x in ids."""
@@ -245,11 +253,22 @@ class Region:
         near = self.law.den * both >= self.law.num * union
         if self.part is not None:
             near &= self.part[ids] != self.part[y]
-        for x in ids[near].tolist():
-            a, b = self.root(x), self.root(y)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.links.append((x, y))
+        x = ids[near]
+        x = x[x != y]
+        if len(x):
+            code = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
+            labels, at = np.unique(self.comp[x], return_index=True)
+            new = labels != self.comp[y]
+            if new.any():
+                self.tree.extend(code[at[new]].tolist())
+                both_ends = np.append(labels, self.comp[y])
+                self.comp[np.isin(self.comp, both_ends)] = both_ends.min()
+            if self.every:
+                self.found.append(code)
+                self.held += len(code)
+                if self.held > 8_000_000:  # met in several cells
+                    self.found = [np.unique(np.concatenate(self.found))]
+                    self.held = 0
         return 1 - both / union
 
     def join(self, ids: np.ndarray) -> None:
@@ -282,9 +301,8 @@ class Region:
                 rest = rest[(np.abs(d[:, rest] - d[:, i : i + 1]) <= self.t + 1e-9).all(0)]
             if self.part is not None:
                 rest = rest[self.part[ids[rest]] != self.part[ids[i]]]
-            mine = self.root(int(ids[i]))
-            if len(rest):
-                rest = rest[[self.root(x) != mine for x in ids[rest].tolist()]]
+            if not self.every:
+                rest = rest[self.comp[ids[rest]] != self.comp[ids[i]]]
             if len(rest):
                 self.measure(int(ids[i]), ids[rest])
 
@@ -349,24 +367,22 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return rows
 
 
-def _regions(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], law: Law, every: bool) -> Iterator[pa.RecordBatch]:
     """Each task's sets -> links."""
-    out: list[tuple[int, int]] = []
-
     for key, members in _runs(batches):
         nodes, blobs, block = zip(*members, strict=True)
-        region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block))
+        region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block), every)
         # the pivot is the smallest node, and the first pivot of its region
-        region.join(np.argsort(np.array(nodes), kind="stable"))
-        out.extend((nodes[x], nodes[y]) for x, y in region.links)
-        if len(out) > 8192:
-            yield _pairs(out)
-    if out:
-        yield _pairs(out)
+        node = np.array(nodes)
+        region.join(np.argsort(node, kind="stable"))
+        a, b, tree = region.links()
+        for lo in range(0, len(a), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[at]]), pa.array(node[b[at]]), pa.array(tree[at])], ["a", "b", "tree"])
 
 
-def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024) -> DataFrame:
-    """A forest of links (a, b) between nodes whose components are those of all links."""
+def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024, every: bool = True) -> DataFrame:
+    """Links (a, b, tree) between nodes, each once: all, or a forest with their components, which tree marks."""
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
     parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts"), "sig long, node long")
     pivots = parts.select("node", F.expr("min(node) over (partition by sig)").alias("p")).where("node <> p")
@@ -394,20 +410,35 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
 
     near = components(dealt(tasks(members), "sketches").mapInArrow(lambda b: _near(b, law), "a long, b long"))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
-    return dealt(tasks(regions), "sets").mapInArrow(lambda b: _regions(b, law), "a long, b long").checkpoint()
+    return dealt(tasks(regions), "sets").mapInArrow(lambda b: _regions(b, law, every), "a long, b long, tree boolean").checkpoint()
 
 
-def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of its component) for each row of df."""
+def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
     shared_dir(df.sparkSession)
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
     kind = df.schema[id_col].dataType.simpleString()
-    sizes = rows.mapInArrow(lambda b: _nodes(b, law, "sizes"), f"doc_id {kind}, n long, node long").checkpoint()
-    found = components(links(df, sizes, law, id_col, text_col, block))
-    placed = sizes.where("n > 0").join(found, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    return rows.mapInArrow(lambda b: _nodes(b, law, "sizes"), f"doc_id {kind}, n long, node long").checkpoint()
+
+
+def _placed(sizes: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, n, node and component_id of each row of sizes."""
+    found = components(met.where("tree").select("a", "b"))
+    placed = sizes.where("n > 0").join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(ids, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = placed.join(ids, "root").select("doc_id", "n", "node", "component_id")
+    return full.unionByName(sizes.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
+
+
+def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, n_links (documents it links to), component_id (smallest id of its component) for each row of df."""
+    sizes = _sizes(df, law, id_col, text_col)
+    met = links(df, sizes, law, id_col, text_col, block)
+    copies = sizes.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    ends = met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    degree = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    full = _placed(sizes, met).join(degree, "node", "left")
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
 def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,7 +446,10 @@ def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col:
 
     Rows with a null id are kept. Where rows share id and text, one stays; columns are those of df.
     """
-    found = join(df, law, id_col, text_col).where(f"{id_col} = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    sizes = _sizes(df, law, id_col, text_col)
+    # a forest has the same components
+    met = links(df, sizes, law, id_col, text_col, every=False)
+    found = _placed(sizes, met).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     lone = df.where(F.col(id_col).isNull())
     kept = df.join(found, F.col(id_col) == F.col("__keep"), "left_semi")
     return kept.dropDuplicates([id_col, text_col]).unionByName(lone)

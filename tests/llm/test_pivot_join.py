@@ -112,3 +112,17 @@ def test_keep_one_and_empty(spark):
     want = {d for d, _, c in brute(rows, 5, 80, 100) if d == c}
     assert {r.doc_id for r in kept.collect()} - {None} == want
     assert pj.join(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 80, 1024), (3, 80, 7)])
+def test_links_per_document_equal_brute_force(spark, k, num, block):
+    rows = corpus(240, 11)
+    s = [shingles(t, k) for _, t in rows]
+    want = []
+    for i, x in enumerate(s):
+        n = sum(i != j and bool(x) and bool(y) and 100 * len(x & y) >= num * len(x | y) for j, y in enumerate(s))
+        want.append((rows[i][0], len(x), n))
+    assert max(n for *_, n in want) > 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pj.join(df, pj.Law(k, num, 100), block=block).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
