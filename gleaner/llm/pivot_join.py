@@ -80,7 +80,8 @@ def classes(law: Law) -> tuple[list[int], list[int], list[int], list[int]]:
         raise ValueError("a similarity from 0.7 to below 1 is meant here")
     low, parts, differ, least = [1], [], [], []
     while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, math.ceil(low[-1] * law.ratio)))
+        # wide enough that linked sets are in one class or in neighbours
+        low.append(max(low[-1] + 1, math.ceil(low[-1] * law.ratio), -(-low[-1] * law.den // law.num)))
     for i in range(len(low) - 1):
         top = low[i + 1] - 1
         d = 2 * top * (law.den - law.num) // (law.den + law.num)

@@ -126,3 +126,19 @@ def test_links_per_document_equal_brute_force(spark, k, num, block):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = pj.join(df, pj.Law(k, num, 100), block=block).select("doc_id", "n_shingles", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_linked_sets_share_a_signature_at_the_lowest_similarity():
+    r = np.random.default_rng(5)
+    law = pj.Law(3, 70, 100)
+    for n in range(20, 400, 3):
+        y = np.unique(r.integers(0, 2**62, n, dtype=np.uint64))
+        x = np.sort(r.permutation(y)[: -(-len(y) * 7 // 10)])
+        sig, who = pj.signatures(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]), law)
+        assert set(sig[who == 0]) & set(sig[who == 1]), n
+
+
+def test_classes_of_registered_laws_are_as_before():
+    for num in (80, 90):
+        low = pj.classes(pj.Law(3, num, 100))[0]
+        assert all(b == max(a + 1, pj.math.ceil(a * 1.25)) for a, b in zip(low, low[1:]))
