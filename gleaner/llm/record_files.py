@@ -17,10 +17,10 @@ Documents are range-partitioned by id and sorted in each partition; file order i
 id order. Every task writes under a name of its own and renames when it is done,
 so a task that runs again replaces a file by an equal one.
 
-Encoding uses the ``tokenizers`` library. The vocabularies meant here drop white
-space, so a text is the sequence of its chunks between spaces and line feeds; the
-library encodes each chunk, and a bounded memo keeps the ids of short ones. The
-end id closes each document.
+Encoding uses the ``tokenizers`` library. Where the vocabulary file drops white
+space and case, a text is the sequence of its chunks between spaces and line feeds;
+the library encodes each distinct chunk once while a bounded memo keeps it. Other
+files get whole texts. The end id closes each document.
 
 Defined cases: a null text is empty and is one record of the end id alone; null
 ids come first; equal ids follow each other in the order of their texts' hashes;
@@ -29,6 +29,7 @@ an empty table writes no files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -37,13 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm import words as W
+from gleaner.llm.chunks import Memo, cut, spread
+
 MAGIC = b"GLREC1"
-MEMO = 600_000
+MEMO = 400_000
+#: How the vocabulary files meant here cut normalized text; a fixed pattern.
+WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MANIFEST = "part int, path string, first_id long, n_records long, n_tokens long"
 
 
@@ -135,7 +142,12 @@ class Reader:
 
 
 class Encoder:
-    """The library's encoder with a memo for chunks between spaces and line feeds."""
+    """The library's encoder; distinct chunks between spaces and line feeds are encoded once.
+
+    Chunks may be encoded apart, and in lower case, where the file's normalizer makes
+    white space one space and lowers case, and its pre-tokenizer drops white space. Any
+    other file, and a text with a special token (in any case), goes to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,40 +157,56 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart = _by_chunks(spec)
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        self.memo = Memo(self._chunks, MEMO)
 
-    def _library(self, chunks: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in self.lib.encode_batch(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in cut for c in chunks if c not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.older, self.memo = self.memo, {"": b""}
-            new = {c for chunks in cut for c in chunks if c}
-        found = {c: b for c in new if (b := self.older.get(c)) is not None}
-        miss = [c for c in new if c not in found]
-        # a mark after a letter is a piece of its own: the word before it may be known
-        stems = {c: c[:-1] for c in miss if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() and c[-2].isascii()}
-        words = {*miss, *stems.values(), ".", ","} - stems.keys() if stems else set(miss)
-        known = {c: b for c in words if (b := self.memo.get(c) or found.get(c) or self.older.get(c)) is not None}
-        miss = [c for c in words if c not in known]
-        for lo in range(0, len(miss), 4096):
-            part = miss[lo : lo + 4096]
-            known.update(zip(part, self._library(part), strict=True))
-        found.update(known)
-        found.update((c, known[stem] + known[c[-1]]) for c, stem in stems.items())
-        long = {c: b for c, b in found.items() if len(c) > 64}
-        self.memo.update(found)
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in cut]
-        for c in long:
-            del self.memo[c]
+        out = []
+        for lo in range(0, len(texts), 4096):
+            out += [np.array(x.ids, kind).tobytes() for x in self.lib.encode_batch(texts[lo : lo + 4096], add_special_tokens=False)]
         return out
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        # a mark after a letter is a piece of its own: the word before it is encoded once
+        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in ".," and c[-2].isascii() and c[-2].isalpha()}
+        words = list({*stems.values(), ".", ",", *(c for c in chunks if c not in stems)})
+        known = dict(zip(words, self._library(words), strict=True))
+        return [known[stems[c]] + known[c[-1]] if c in stems else known[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text; a null text is empty."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        if not self.apart:
+            return self._library(texts.to_pylist())
+        low = pc.ascii_lower(texts)
+        first, number, distinct = cut(pc.replace_substring(low, "\n", " "))
+        each = spread(self.memo(distinct), number)
+        bounds = first.tolist()
+        out = [b"".join(each[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for mark in self.special:
+            for i in np.flatnonzero(pc.match_substring(low, mark).to_numpy(zero_copy_only=False)):
+                (out[i],) = self._library([texts[int(i)].as_py()])
+        return out
+
+
+def _by_chunks(spec: dict) -> bool:
+    """Whether a vocabulary file drops white space and case, and joins nothing across white space."""
+    parts = (spec["normalizer"] or {}).get("normalizers", [])
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    spaced = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    kinds = [p["type"] for p in parts]
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"] and parts[1] == spaced
+        and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and bool(pre[0].get("invert"))
+        and pre[0]["pattern"].get("Regex") == WORD_CUT
+        and pre[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    )
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -195,12 +223,11 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, out: str)
     part = TaskContext.get().partitionId()
     uri, writer, first = f"{out}/part-{part:05d}", None, None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            rows = batch.slice(lo, 512)
-            ids = rows.column(0).to_pylist()
-            if writer is None and ids:
+        for lo, hi, *_ in W.groups(batch.column(1)):
+            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+            if writer is None:
                 writer, first = Writer(uri, enc.width), ids[0]
-            for doc_id, raw in zip(ids, enc.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
+            for doc_id, raw in zip(ids, enc.encode(batch.column(1).slice(lo, hi - lo)), strict=True):
                 writer.add(doc_id, raw + end)
     if writer is not None:
         writer.close()

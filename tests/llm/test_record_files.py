@@ -2,7 +2,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gleaner.llm import record_files as rf
 
@@ -52,7 +57,33 @@ def test_memo_turns_over(monkeypatch):
     enc = rf.Encoder(PATH)
     for i in range(30):
         text = " ".join(f"w{j} Common" for j in range(i, i + 20))
-        assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == library(text)
+        assert np.frombuffer(enc.encode(pa.array([text]))[0], "<u2").tolist() == library(text)
+
+
+def test_any_vocabulary_file_gives_the_library_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = rf.Encoder(path)
+    texts = [t for t in TEXTS if t] + ["two  spaces <|endoftext|> end"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(pa.array(texts))] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text(st.sampled_from("aA.,'sS <|>\n\t éÉ\u0301İΣ1²\x1c\x85\u3000"), max_size=30), st.sampled_from(["<|EndOfText|>", "<|endoftext|>.", "it's.", "ABC,", "a.b."])), max_size=4))
+def test_hostile_texts(texts):
+    enc = rf.encoder(PATH)
+    lib = enc.lib
+    for text in (" ".join(texts), "\n".join(texts), "".join(texts)):
+        got = np.frombuffer(enc.encode(pa.array([text, None]))[0], "<u2").tolist()
+        assert got == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_ids_come_in_the_order_of_their_texts_hashes(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    df = spark.createDataFrame([(4, t) for t in ("b b", "a", "c c c", "a")], "doc_id long, text string")
+    order = [r.text for r in df.withColumn("h", F.xxhash64("text")).orderBy("h").collect()]
+    got = sorted(rf.read(rf.write(df, f"file://{tmp_path}/out", PATH, 2, parts=2)).collect(), key=lambda r: r.start)
+    assert [r.n_tokens for r in got] == [len(library(t)) + 1 for t in order]
 
 
 def test_empty(spark, tmp_path):
