@@ -161,6 +161,10 @@ class Encoder:
             spec = json.load(f)
         self.apart = _by_chunks(spec)
         self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        closing = spec["model"].get("end_of_word_suffix")
+        self.closes = np.zeros(1 << 8 * self.width if self.width == 2 else self.lib.get_vocab_size(with_added_tokens=True), bool)
+        if closing:
+            self.closes[[i for t, i in spec["model"]["vocab"].items() if t.endswith(closing)]] = True
         self.memo = Memo(self._chunks, MEMO)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -170,11 +174,29 @@ class Encoder:
             out += [np.array(x.ids, kind).tobytes() for x in self.lib.encode_batch(texts[lo : lo + 4096], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks of letters: many in one text, cut after ids that close a word."""
+        out = []
+        for lo in range(0, len(words), 1024):
+            part = words[lo : lo + 1024]
+            (got,) = self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(got.ids, f"<u{self.width}")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.width
+            if len(ends) == len(part):  # each has one close at least, so each has just one
+                raw, ends = ids.tobytes(), ends.tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:  # a letter that normalization takes apart
+                out += self._library(part)
+        return out
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        # a mark after a letter is a piece of its own: the word before it is encoded once
-        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in ".," and c[-2].isascii() and c[-2].isalpha()}
-        words = list({*stems.values(), ".", ",", *(c for c in chunks if c not in stems)})
-        known = dict(zip(words, self._library(words), strict=True))
+        # a mark after a letter that stays one letter is a piece of its own: the word before it is encoded once
+        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in ".," and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha()}
+        words = {*stems.values(), ".", ",", *(c for c in chunks if c not in stems)}
+        letters = [w for w in words if w.isalpha()]
+        others = list(words.difference(letters))
+        known = dict(zip(letters, self._words(letters), strict=True))
+        known.update(zip(others, self._library(others), strict=True))
         return [known[stems[c]] + known[c[-1]] if c in stems else known[c] for c in chunks]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
