@@ -5,13 +5,14 @@ of a segment tree whose nodes hold the smaller child, with ties to the left, so
 the root is the leftmost pair of the lowest rank. A merge changes three leaves
 (the pair itself goes, its two neighbours get new ranks), each in logarithmic
 time, until the root is no mergeable pair. A piece of m symbols costs O(m log m),
-however long it is.
+however long it is. Short pieces are merged many at a time, their trees side by
+side as rows of arrays; longer ones one by one, by the same rule.
 
 Texts are cut into pieces as byte-level tokenizers cut them. Between two pieces
 of visible characters a single space never changes how either side is cut, so a
-text is also the sequence of its space-separated chunks; their tokens are kept
-in a bounded memo, and a text with runs of white space around its chunks is cut
-as a whole. Special tokens of the vocabulary file are matched in texts first.
+text is also the sequence of its space-separated chunks. Distinct chunks and
+pieces are encoded once while a bounded memo holds them; a text with more white
+space around its chunks is cut as a whole. Special tokens of the vocabulary file are matched in texts first.
 
 Defined cases: a null text is empty and has no tokens; any text of valid Unicode
 decodes to itself; other columns are ignored.
@@ -26,14 +27,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import words as W
+from gleaner.llm.chunks import Memo, cut, spread
+
 #: How byte-level tokenizers of this family cut text; a fixed pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
-MEMO = 200_000
+FREE = np.int64(1 << 40)
+MEMO = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -100,6 +106,77 @@ def merge(symbols: list[int], ranks: dict[int, tuple[int, int]], shift: int = 20
     return [s for s in sym if s >= 0]
 
 
+class Ranks:
+    """Merge ranks of symbol pairs as sorted arrays, and the symbol that each rank makes."""
+
+    def __init__(self, ranks: dict[int, tuple[int, int]]):
+        keys = np.fromiter(ranks, np.int64, len(ranks))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        both = np.array(list(ranks.values()), np.int64).reshape(-1, 2)
+        self.rank = both[order, 0]
+        self.made = np.zeros(int(both[:, 0].max(initial=0)) + 1, np.int32)
+        self.made[both[:, 0]] = both[:, 1]
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """rank << 6 | place of each pair, FREE where it doesn't merge (or a symbol is -1)."""
+        key = left.astype(np.int64) << 20 | right
+        if not len(self.keys):
+            return np.full(key.shape, FREE)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at] << 6 | place, FREE)
+
+
+def merge_many(symbols: np.ndarray, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """All merges of many short pieces in lockstep: (symbols left, how many of each piece).
+
+    symbols: one row for each piece, padded with -1; its width less 1 is a power of two, 32 at most.
+    Each row has a segment tree as in ``merge``; in a step every live row merges the pair at its root.
+    """
+    n, w = symbols.shape
+    size = w - 1
+    sym = np.full((n, w + 1), -1, np.int32)  # the last column stands for no symbol
+    sym[:, :w] = symbols
+    tree = np.full((n, 2 * size), FREE)
+    tree[:, size:] = ranks.leaf(sym[:, : w - 1], sym[:, 1:w], np.arange(size))
+    h = size // 2
+    while h:
+        tree[:, h : 2 * h] = np.minimum(tree[:, 2 * h : 4 * h : 2], tree[:, 2 * h + 1 : 4 * h : 2])
+        h //= 2
+    after = np.tile(np.arange(1, w + 2, dtype=np.int32), (n, 1))
+    after[:, w] = w
+    before = np.tile(np.arange(-1, w, dtype=np.int32), (n, 1))
+    before[:, 0] = w
+    live = np.flatnonzero(tree[:, 1] != FREE)
+    while len(live):
+        top = tree[live, 1]
+        i = top & 63
+        j = after[live, i]
+        k = after[live, j]
+        made = ranks.made[top >> 6]
+        sym[live, i] = made
+        sym[live, j] = -1
+        after[live, i] = k
+        before[live, k] = i
+        p = before[live, i]
+        # three leaves change: the merged pair's right neighbour goes, the pairs around the new symbol get new ranks
+        gone = np.where(j < size, j, i)
+        left = np.where(p < w, p, i)
+        tree[live, size + gone] = FREE
+        tree[live, size + left] = ranks.leaf(sym[live, p], made, p)
+        tree[live, size + i] = ranks.leaf(made, sym[live, k], i)
+        nodes = [size + gone, size + left, size + i]
+        h = size
+        while h > 1:
+            nodes = [x >> 1 for x in nodes]
+            for x in nodes:
+                tree[live, x] = np.minimum(tree[live, 2 * x], tree[live, 2 * x + 1])
+            h //= 2
+        live = live[tree[live, 1] != FREE]
+    kept = sym[:, :w] >= 0
+    return sym[:, :w][kept], kept.sum(1)
+
+
 class Codec:
     """Encoder and decoder of a byte-level vocabulary file (JSON of ``tokenizers``)."""
 
@@ -113,79 +190,86 @@ class Codec:
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         self.first = [vocab.get(letters[b], -1) for b in range(256)]
+        if min(self.first) < 0:
+            raise ValueError("a byte has no symbol in the vocabulary")
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[left] << 20 | vocab[right]] = (rank, vocab[left + right])
+        self.pairs = Ranks(self.ranks)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         top = max(self.token) + 1
         self.bytes = [self.token.get(i, b"") for i in range(top)]
-        self.digits = [str(i).encode() for i in range(top)]
         self._cut = regex.compile(PIECES)
         longest = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            first = self.first
-            ids = tuple(merge([first[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks))
-            if len(piece) < 64:
-                if len(self._pieces) >= MEMO // 2:
-                    self._pieces.clear()
-                self._pieces[piece] = ids
-        return ids
-
-    def _plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._piece, self._cut.findall(text))))
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Tokens of a chunk with the space before it, from the older memo or anew."""
-        ids = self._older.get(chunk)
-        if ids is None:
-            ids = tuple(self._plain(chunk))
-        if len(chunk) < 64:
-            if len(self._chunks) >= MEMO:
-                self._older, self._chunks = self._chunks, {}
-            self._chunks[chunk] = ids
-        return ids
-
-    def _ordinary(self, text: str) -> list[int]:
-        """Tokens of a text without special tokens."""
-        if not text:
-            return []
-        chunks = text.split(" ")
-        for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace():
-                return self._plain(text)
-        out = list(self._chunk_at_start(chunks[0]))
-        get, miss, extend = self._chunks.get, self._chunk, out.extend
-        for c in chunks[1:]:
-            c = " " + c
-            ids = get(c)
-            if ids is None:
-                ids = miss(c)
-                get = self._chunks.get
-            extend(ids)
+        self._pieces = Memo(self._merged, MEMO)
+        self._chunks = Memo(self._tokens, MEMO)
+
+    def _merged(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct pieces."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        length = np.array([len(r) for r in raw])
+        out: list = [None] * len(raw)
+        first = np.array(self.first, np.int32)
+        low = 0
+        for size in (1, 2, 4, 8, 16, 32):
+            pick = np.flatnonzero((length > low) & (length <= size + 1))
+            low = size + 1
+            for a in range(0, len(pick), 1 << 15):
+                rows = pick[a : a + (1 << 15)]
+                n = length[rows]
+                symbols = np.full((len(rows), size + 1), -1, np.int32)
+                symbols[np.arange(size + 1) < n[:, None]] = first[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
+                ids, count = merge_many(symbols, self.pairs)
+                ids, ends = ids.tolist(), np.cumsum(count).tolist()
+                for i, x, y in zip(rows.tolist(), [0, *ends], ends, strict=False):
+                    out[i] = tuple(ids[x:y])
+        for i in np.flatnonzero(length > low):
+            out[i] = tuple(merge([self.first[b] for b in raw[i]], self.ranks))
+        return [x if x is not None else () for x in out]
+
+    def _tokens(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct strings, each cut into pieces on its own."""
+        cuts = [self._cut.findall(c) for c in chunks]
+        distinct = list(dict.fromkeys(chain.from_iterable(cuts)))
+        known = dict(zip(distinct, self._pieces(distinct), strict=True))
+        return [known[c[0]] if len(c) == 1 else tuple(chain.from_iterable([known[p] for p in c])) for c in cuts]
+
+    def _whole(self, text: str) -> list[int]:
+        """Ids of a text that isn't the sequence of its chunks, special tokens first."""
+        out, at = [], 0
+        for m in self._special.finditer(text) if self._special else ():
+            out += self._tokens([text[at : m.start()]])[0]
+            out.append(self.special[m[0]])
+            at = m.end()
+        out += self._tokens([text[at:]])[0]
         return out
 
-    def _chunk_at_start(self, chunk: str) -> list[int]:
-        return self._plain(chunk)
+    def encode_column(self, texts: pa.Array) -> Iterator[list[int]]:
+        """Ids of each text; a null text is empty."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        first, number, distinct = cut(texts)
+        # a chunk at whose border white space meets the separator is cut together with its neighbours
+        apart = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in distinct), bool, len(distinct))
+        whole = np.add.reduceat(apart[number], first[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        each = spread(self._chunks([" " + c for c in distinct]), number)
+        heads = first[:-1].tolist()
+        opening = [distinct[i] for i in number[first[:-1]]]
+        known = list(dict.fromkeys(opening))
+        known = dict(zip(known, self._chunks(known), strict=True))
+        for a, head in zip(heads, opening, strict=True):  # no space before the first chunk
+            each[a] = known[head]
+        for i, (a, b) in enumerate(zip(heads, first[1:].tolist(), strict=True)):
+            yield self._whole(texts[i].as_py()) if whole[i] else list(chain.from_iterable(each[a:b]))
 
     def encode(self, text: str) -> list[int]:
-        if self._special is None or not self._special.search(text):
-            return self._ordinary(text)
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += self._ordinary(text[at : m.start()])
-            out.append(self.special[m[0]])
-            at = m.end()
-        return out + self._ordinary(text[at:])
+        return next(self.encode_column(pa.array([text], pa.string())))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -203,18 +287,15 @@ def codec(path: str) -> Codec:
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, digests: bool) -> Iterator[pa.RecordBatch]:
     c = codec(path)
-    digits = c.digits.__getitem__
-    step = 256
     for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
+        for lo, hi, *_ in W.groups(batch.column(0)):
+            part = batch.slice(lo, hi - lo)
             n, sha, back, ids_out, texts = [], [], [], [], []
-            for text in part.column(0).to_pylist():
-                ids = c.encode(text or "")
+            for ids in c.encode_column(part.column(0)):
                 decoded = c.decode(ids)
                 n.append(len(ids))
                 if digests:
-                    sha.append(hashlib.sha256(b",".join(map(digits, ids))).hexdigest())
+                    sha.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                     back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 else:
                     ids_out.append(np.array(ids, np.int32))
