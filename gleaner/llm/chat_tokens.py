@@ -71,23 +71,21 @@ class Template:
         (self.line,) = self.lib.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids, skip_special_tokens=False)
 
-    def parse(self, ids: list[int]) -> tuple[str, str]:
-        """Role and text of a turn's ids, unescaped."""
-        if ids[0] != self.start or ids[-2:] != [self.end, self.line]:
-            raise ValueError("no turn")
-        cut = ids.index(self.line)
-        return unescape_role(self.decode(ids[1:cut])), unescape(self.decode(ids[cut + 1 : -2]))
-
-    def render(self, ids: list[int]) -> str:
-        """The turn as text."""
-        if ids[0] != self.start or ids[-2:] != [self.end, self.line]:
-            raise ValueError("no turn")
-        return START + self.decode(ids[1:-2]) + END + "\n"
+    def segments(self, turns: list[list[int]]) -> list[tuple[str, str]]:
+        """Role and text of each turn's ids, as they stand between the reserved ids; each decoded once."""
+        parts = []
+        for ids in turns:
+            if ids[0] != self.start or ids[-2:] != [self.end, self.line]:
+                raise ValueError("no turn")
+            cut = ids.index(self.line)
+            parts += [ids[1:cut], ids[cut + 1 : -2]]
+        said = self.lib.decode_batch(parts, skip_special_tokens=False)
+        return list(zip(said[::2], said[1::2], strict=True))
 
 
 _templates: dict[str, Template] = {}
@@ -105,7 +103,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
             roles = [r or "" for r in part.column(2).to_pylist()]
-            heads = t.encode([escape_role(r) for r in roles])
+            kinds = list(dict.fromkeys(roles))  # few in a batch
+            known = dict(zip(kinds, t.encode([escape_role(r) for r in kinds]), strict=True))
+            heads = [known[r] for r in roles]
             bodies = t.encode([escape(x or "") for x in part.column(3).to_pylist()])
             blobs = [np.array([t.start, *h, t.line, *b, t.end, t.line], "<i4").tobytes() for h, b in zip(heads, bodies, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -169,19 +169,23 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     for batch in batches:
         kind = batch.schema.field(0).type
-        for conv, ids, first, low, high in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+        turns = batch.column(2).to_pylist()
+        said = t.segments(turns)
+        for conv, ids, first, low, high, (role, text) in zip(batch.column(0).to_pylist(), turns, *(batch.column(i).to_pylist() for i in (3, 4, 5)), said, strict=True):
             if open_ is None or first == 0:
                 if open_ is not None:
                     done.append(row(open_))
                 open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role, text = t.parse(ids)
+            plain = unescape(text)
             open_[1] += 1
-            open_[2].update(f"{role}\n{text}\n".encode())
+            open_[2].update(f"{unescape_role(role)}\n{plain}\n".encode())
             if low is not None:
-                learned = unescape(t.decode(ids[low - first : high - first]))
+                # the mask is read as it is; where it covers the text's ids their decoding is at hand
+                whole = (low - first, high - first) == (ids.index(t.line) + 1, len(ids) - 2)
+                learned = plain if whole else unescape(t.decode(ids[low - first : high - first]))
                 open_[3] += len(learned)
                 open_[4].update(learned.encode())
-            open_[5] += len(t.render(ids))
+            open_[5] += len(START) + len(role) + 1 + len(text) + len(END) + 1
         if len(done) >= 4096:
             yield full()
     if open_ is not None:
