@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("region", "rack", "shard")
+RUN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,8 @@ def place(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: t
     Rows that agree in id, size and checksum are counted first, with partial sums
     before the shuffle, which also dissolves hot keys. Each shard is split into
     ``buckets`` by hash; counts of the (shards x buckets) cells become offsets, and
-    rows are numbered in their cell. Texts never leave the scan.
+    rows are numbered in their cell. Texts never leave the scan. Copies become rows
+    again in runs of ``RUN``, spread over the tasks.
     """
     tree = tree or even_tree(8)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -123,8 +125,11 @@ def place(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: t
     placed = placed.join(F.broadcast(offsets), ["shard", "bucket"])
     order = "partition by shard, bucket order by doc_id, size, text_crc32 rows between unbounded preceding and 1 preceding"
     placed = placed.withColumn("before", F.coalesce(F.expr(f"sum(copies) over ({order})"), F.lit(0)))
-    slot = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    return placed.select("*", slot.alias("copy")).select(
+    # a row for each copy again: in runs, which are dealt out, so that a hot row is no array and no task of its own
+    runs = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))).alias("run"))
+    runs = runs.repartition("doc_id", "size", "text_crc32", "run")
+    last = F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1
+    return runs.select("*", F.explode(F.sequence(F.col("run") * RUN, last)).alias("copy")).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard",
         (F.col("offset") + F.col("before") + F.col("copy")).alias("slot"), F.col("grown_shard"),
     )

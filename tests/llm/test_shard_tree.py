@@ -47,3 +47,16 @@ def test_weight_moves_only_in_the_changed_subtree(spark):
 
 def test_empty(spark):
     assert rows(spark, []) == []
+
+
+def test_a_hot_row_is_spread_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(st, "RUN", 7)
+    df = spark.createDataFrame([(1, "hot")] * 100 + [(2, "x" * 500_000), (3, None), (3, None)], "doc_id long, text string")
+    placed = st.place(df)
+    got = placed.collect()
+    assert len(got) == 103
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert {r["size"] for r in got if r.doc_id == 2} == {500_001}
