@@ -17,17 +17,21 @@ the tables in lockstep as arrays. Patterns of other lengths have tables of their
 own, so short items don't shorten the shifts of long ones.
 
 Every word of an occurrence is hit. Documents are read whole. The benchmark is
-the given query set; it is sent to the workers in blocks of ``block_patterns``
-patterns, each block a pass over the documents, so what is broadcast at once has
-a fixed size however many items there are.
+the given query set; it is read window by window and sent to the workers in blocks
+of at most ``block_patterns`` windows, each block a pass over the documents. What a
+pass has found is checkpointed before the next block is sent and the last one is
+dropped, so the driver holds two blocks and an executor one, however many items
+there are and however long. One block, the usual case, is one pass and no checkpoint.
 
 Defined cases: null and wordless texts have no words and no hits; items without
-words never occur; rows with one item id count as one item; other columns are kept.
+words never occur; rows with one item id count as one item, and so do all items with
+a null id, which is an item without a name (a null in ``items``, after the others);
+equal rows get equal results; columns of df named n_words, spans or items are
+replaced, all others kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -37,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
+from gleaner.session import shared_dir
 
 LANE = 512
 BITS = 20
@@ -131,42 +136,51 @@ def windows(text: str | None, width: int) -> list[tuple[int, bytes]]:
     return [(m, b" ".join(parts[i : i + m])) for i in range(len(parts) - m + 1)]
 
 
-def build(items: list[tuple[int, str | None]], width: int) -> list[Tables]:
-    """Tables for items (number, text), one for each length of pattern."""
+def build(found: list[tuple[int, bytes, int]]) -> list[Tables]:
+    """Tables for windows (length, pattern, item number), one for each length of pattern."""
     held: dict[int, dict[bytes, list[int]]] = {}
-    for number, text in items:
-        for m, p in windows(text, width):
-            who = held.setdefault(m, {}).setdefault(p, [])
-            if not who or who[-1] != number:
-                who.append(number)
+    for m, p, number in found:
+        who = held.setdefault(m, {}).setdefault(p, [])
+        if not who or who[-1] != number:
+            who.append(number)
     return [Tables(m, list(found), list(found.values())) for m, found in sorted(held.items())]
 
 
-def _search(batches: Iterator[pa.RecordBatch], sent, names: list) -> Iterator[pa.RecordBatch]:
-    """Rows in, rows out with n_words, spans (first word, words) and item numbers."""
-    tables: list[Tables] = pickle.loads(sent.value)
+def _named(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def _search(batches: Iterator[pa.RecordBatch], sent, earlier: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (text, others) in, with n_words, spans (first word, words) and items out; those of earlier passes are added to."""
+    tables, names = pickle.loads(sent.value)
     for batch in batches:
+        rest = batch.num_columns - (3 if earlier else 0)
         for lo, hi, bounds, data in W.groups(batch.column(0)):
             w = W.scan(bounds, data, W.ALNUM, lower=True)
             n = hi - lo
             spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[int]] = {}
+            items: dict[int, set[str | None]] = {}
             for t in tables:
                 begin, pattern = t.search(w)
                 if len(begin):
                     docs = np.searchsorted(w.first, begin, "right") - 1
                     for d, s, p in zip(docs.tolist(), (begin - w.first[docs]).tolist(), pattern.tolist(), strict=True):
                         spans.setdefault(d, []).append((s, s + t.m))
-                        items.setdefault(d, set()).update(t.items[p])
+                        items.setdefault(d, set()).update(names[i] for i in t.items[p])
+            if earlier:
+                for d, (x, y) in enumerate(zip(*(batch.column(i).slice(lo, n).to_pylist() for i in (rest + 1, rest + 2)), strict=True)):
+                    if x:
+                        spans.setdefault(d, []).extend((s["first"], s["end"]) for s in x)
+                        items.setdefault(d, set()).update(y)
             merged = [_union(spans.get(d, ())) for d in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(i).slice(lo, n) for i in range(1, batch.num_columns)),
+                    *(batch.column(i).slice(lo, n) for i in range(rest)),
                     pa.array(w.counts, pa.int64()),
                     pa.array([[{"first": a, "end": b} for a, b in x] for x in merged], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted({names[i] for i in items.get(d, ())}) for d in range(n)], pa.list_(pa.string())),
+                    pa.array([_named(items.get(d, set())) for d in range(n)], pa.list_(pa.string())),
                 ],
-                [*batch.schema.names[1:], "n_words", "spans", "items"],
+                [*batch.schema.names[:rest], "n_words", "spans", "items"],
             )
 
 
@@ -180,66 +194,39 @@ def _union(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_patterns: int) -> Iterator[tuple[list[Tables], list[str]]]:
-    """Tables for blocks of the query set, read item by item (never all at once)."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, most: int) -> Iterator[tuple[list[Tables], list[str | None]]]:
+    """Tables of at most ``most`` windows, and the names of their items, read item by item."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    part: list[tuple[int, str | None]] = []
-    names: list[str] = []
-    size = 0
+    part: list[tuple[int, bytes, int]] = []
+    names: list[str | None] = []
     for r in rows.toLocalIterator():
-        part.append((len(names), r.t))
-        names.append(r.i if r.i is not None else "")
-        size += len(windows(r.t, width))
-        if size >= block_patterns:
-            yield build(part, width), names
-            part, names, size = [], [], 0
-    if part:
-        yield build(part, width), names
+        names.append(r.i)
+        for m, p in windows(r.t, width):
+            part.append((m, p, len(names) - 1))
+            if len(part) >= most:
+                yield build(part), names
+                part, names = [], [r.i]
+    yield build(part), names
 
 
 def occurrences(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_patterns: int = 200_000) -> DataFrame:
-    """df with n_words, spans of hit words and the item ids (as sorted strings) that occur.
-
-    Columns of df named n_words, spans or items are replaced.
-    """
-    spark = df.sparkSession
+    """df with n_words, spans of hit words and the item ids (as sorted strings) that occur."""
+    context = df.sparkSession.sparkContext
     rest = [c for c in df.columns if c not in ("n_words", "spans", "items")]
     rows = df.select(F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest)))
-    kinds = ", ".join(f"__{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
-    schema = f"{kinds}, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
-    blocks = list(_blocks(benchmark, item_col, item_text_col, width, block_patterns)) or [([], [])]
-    if len(blocks) > 1:
-        return _in_passes(df, rows, schema, blocks, rest, width)
-    tables, names = blocks[0]
-    sent = spark.sparkContext.broadcast(pickle.dumps(tables))
-    out = rows.mapInArrow(lambda b: _search(b, sent, names), schema)
-    return out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(rest)), "n_words", "spans", "items")
-
-
-def _in_passes(df: DataFrame, rows: DataFrame, schema: str, blocks: list, rest: list[str], width: int) -> DataFrame:
-    """One map over the documents for each block of the query set, in turn on the same rows."""
-    spark = df.sparkSession
-    sent = [(spark.sparkContext.broadcast(pickle.dumps(t)), names) for t, names in blocks]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                spans, items, base = None, None, None
-                for s, names in sent:
-                    got = pa.Table.from_batches(_search(iter([part]), s, names))
-                    if base is None:
-                        base, spans, items = got, got["spans"].to_pylist(), got["items"].to_pylist()
-                    else:
-                        spans = [a + b for a, b in zip(spans, got["spans"].to_pylist(), strict=True)]
-                        items = [a + b for a, b in zip(items, got["items"].to_pylist(), strict=True)]
-                spans = [[{"first": a, "end": b} for a, b in _union((x["first"], x["end"]) for x in s)] for s in spans]
-                base = base.set_column(base.num_columns - 2, "spans", pa.array(spans, base.schema.field("spans").type))
-                base = base.set_column(base.num_columns - 1, "items", pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())))
-                yield from base.combine_chunks().to_batches()
-
-    out = rows.mapInArrow(run, schema)
-    return out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(rest)), "n_words", "spans", "items")
+    kinds = "".join(f"__{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
+    schema = f"__text string, {kinds}n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+    blocks = _blocks(benchmark, item_col, item_text_col, width, block_patterns)
+    block, earlier = next(blocks), False
+    while block is not None:
+        sent = context.broadcast(pickle.dumps(block))
+        rows = rows.mapInArrow(lambda b, s=sent, e=earlier: _search(b, s, e), schema)
+        block, earlier = next(blocks, None), True
+        if block is not None:
+            shared_dir(df.sparkSession)
+            rows = rows.checkpoint()
+            sent.unpersist()
+    return rows.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(rest)), "n_words", "spans", "items")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -249,7 +236,3 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.col(id_col).alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
-
-
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()

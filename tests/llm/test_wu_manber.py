@@ -52,5 +52,44 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     r = wm.digests(wm.occurrences(docs, none)).collect()
-    assert len(r) == 1 and r[0].n_hit == 0 and r[0].items_sha256 == wm.empty_digest()
+    assert len(r) == 1 and r[0].n_hit == 0 and r[0].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert wm.digests(wm.occurrences(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string"))).count() == 0
+
+
+def test_blocks_are_bounded_and_streamed(spark, monkeypatch):
+    """Of 30 blocks at most two are held by the driver, and one of the broadcasts is live."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)] + [(99, " ".join(f"long{j}" for j in range(400)))]
+    df = spark.createDataFrame([(1, items[3][1] + " . " + items[29][1]), (2, items[-1][1]), (3, "w1x1 clean")], "doc_id long, text string")
+    seen, live, most = [], [0], [0]
+    build = wm.build
+
+    def counted(found):
+        seen.append(len(found))
+        return build(found)
+
+    broadcast = type(spark.sparkContext).broadcast
+
+    def sent(self, value):
+        out = broadcast(self, value)
+        live[0] += 1
+        most[0] = max(most[0], live[0])
+        drop = out.unpersist
+        out.unpersist = lambda *a: (live.__setitem__(0, live[0] - 1), drop(*a))
+        return out
+
+    monkeypatch.setattr(wm, "build", counted)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", sent)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in wm.occurrences(df, bench, block_patterns=45).collect()}
+    assert max(seen) <= 45 and len(seen) >= 30 and most[0] == 1
+    assert got[1].items == ["29", "3"] and [tuple(s) for s in got[1].spans] == [(0, 80)] and got[2].items == ["99"] and not got[3].spans
+
+
+def test_null_items_and_clashing_columns(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), ("", "delta"), ("b", "alpha beta")], "item_id string, text string")
+    df = spark.createDataFrame([(1, "Alpha beta gamma delta", "s"), (1, "Alpha beta gamma delta", "s"), (2, "beta", "t")], "doc_id long, text string, spans string")
+    for block in (1, 100):
+        found = wm.occurrences(df, bench, block_patterns=block)
+        assert found.columns == ["doc_id", "text", "n_words", "spans", "items"]
+        assert sorted((r.doc_id, r.items) for r in found.collect()) == [(1, ["", "b", None]), (1, ["", "b", None]), (2, [])]
+        assert {r.n_items for r in wm.digests(found).where("contaminated").collect()} == {3}
