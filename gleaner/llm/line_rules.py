@@ -39,14 +39,25 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MARKS = np.zeros(256, bool)
 MARKS[list(b".,;:!?")] = True
-#: Fixed phrases of boilerplate lines, lower case.
-PHRASES = (
-    b"all rights reserved", b"terms of use", b"terms of service", b"privacy policy", b"cookie policy", b"use cookies",
-    b"enable javascript", b"is licensed under", b"licensed under", b"released under the", b"lorem ipsum",
-    b"subscribe to our", b"sign up for", b"click here", b"read more", b"powered by",
-)
-#: Fixed menu words of navigation lines, lower case.
-MENU = frozenset((b"home", b"menu", b"login", b"logout", b"search", b"next", b"previous", b"prev", b"back", b"top", b"contact", b"about", b"help", b"share", b"sitemap", b"skip"))
+#: Fixed phrases of boilerplate lines in English, German, French and Spanish, lower case.
+PHRASES = tuple(p.encode() for p in (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
+    "enable javascript", "is licensed under", "licensed under", "released under the", "lorem ipsum",
+    "subscribe to our", "sign up for", "click here", "read more", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutz", "impressum", "verwendet cookies", "javascript aktivieren",
+    "lizenziert unter", "newsletter abonnieren", "hier klicken", "mehr erfahren", "weiterlesen",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "utilise des cookies",
+    "activer javascript", "sous licence", "cliquez ici", "lire la suite", "en savoir plus",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "utiliza cookies",
+    "habilitar javascript", "bajo licencia", "haga clic aquí", "leer más", "suscríbete a",
+))
+#: Fixed menu words of navigation lines in the same languages, lower case.
+MENU = frozenset(m.encode() for m in (
+    "home", "menu", "login", "logout", "search", "next", "previous", "prev", "back", "top", "contact", "about", "help", "share", "sitemap", "skip",
+    "startseite", "menü", "anmelden", "abmelden", "suche", "weiter", "zurück", "kontakt", "hilfe", "teilen",
+    "accueil", "connexion", "déconnexion", "recherche", "suivant", "précédent", "retour", "aide", "partager",
+    "inicio", "menú", "entrar", "salir", "buscar", "siguiente", "anterior", "volver", "contacto", "ayuda", "compartir",
+))
 _PHRASE = re.compile(b"|".join(map(re.escape, PHRASES)))
 _MENU = re.compile(rb"(?m)^[ \t]*((?:%s)(?:[ \t]+(?:%s)){0,2})[ \t]*$" % (b"|".join(sorted(MENU)), b"|".join(sorted(MENU))))
 
@@ -134,16 +145,15 @@ def examine(bounds: np.ndarray, data: np.ndarray, rules: Rules) -> tuple[dict[st
         | (stuttered[hi] - stuttered[lo] >= rules.max_stutter * words)
         | again
     )
-    # a break between documents, so that no match begins or ends by what its neighbours hold
-    cuts = bounds[1:-1]
-    text = np.insert(data, cuts, 0x0A).tobytes().translate(W.LOWER_BYTES)
+    # short lines alone, each by itself, so that no match begins or ends by what its neighbours hold
+    short_lines = np.flatnonzero(some & (words <= rules.boiler_words))
+    raw = data.tobytes()
+    parts = [raw[x:y] for x, y in zip(lines.start[short_lines].tolist(), lines.end[short_lines].tolist(), strict=True)]
+    text = b"\n".join(parts).translate(W.LOWER_BYTES)
     found = [m.start() for m in _PHRASE.finditer(text)] + [m.start(1) for m in _MENU.finditer(text)]
     if found:
-        places = np.array(found)
-        places -= np.searchsorted(cuts + np.arange(len(cuts)), places)
-        line = np.searchsorted(lines.start, places, "right") - 1
-        line = line[(line >= 0) & (places < lines.end[line])]
-        bad[line] |= some[line] & (words[line] <= rules.boiler_words)
+        begin = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        bad[short_lines[np.searchsorted(begin, found, "right") - 1]] = True
     cum = _sums(chars)
     line_chars = cum[hi] - cum[lo]
     doc = lines.doc

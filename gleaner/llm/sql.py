@@ -64,7 +64,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 """
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
-_PHRASE = "|".join(p.decode() for p in PHRASES)
+_PHRASE = "|".join(p.decode().replace("'", "''") for p in PHRASES)
 _MENUS = "|".join(sorted(m.decode() for m in MENU))
 
 OP9 = rf"""
