@@ -18,13 +18,16 @@ at least ``num/den`` (distance at most t). Steps:
    distance. So links by sketches contain all links, and both ends of a link are in
    one component of the regions' sketch links: these components are the regions that
    sets move to, each set to one. Members without a sketch link move nowhere.
-4. Regions. In a region, further pivots (each the farthest from those before) form
-   Voronoi cells. A set goes to the cell of its nearest pivot and to every cell
-   whose pivot is at most 2t farther, so both ends of a link meet in a cell. Cells
-   are joined recursively. Where cells don't shrink, each member is compared with
-   those in its triangle window: |d(x, p) - d(y, p)| <= t for all pivots p.
-   Regions of over ``block`` sets are dealt into pairs of blocks by hash: every pair
-   of sets meets in a task, and a task holds at most two blocks.
+4. Regions. In a region, further pivots form Voronoi cells. A set goes to the cell of
+   its nearest pivot and to every cell whose pivot is at most 2t farther, so both ends
+   of a link meet in a cell, and cells are joined recursively. A region too large for
+   a task is split so over the cluster, in rounds: its members, in shares, are held
+   against its pivots' sets, and cells that are still too large are split again. What
+   fits a task goes on in memory. Where cells don't shrink, each member is compared
+   with those in its triangle window: |d(x, p) - d(y, p)| <= t for all pivots p; such a
+   cell, if it is larger than a task (``block`` sets, ``BYTES`` bytes), is dealt into
+   pairs of blocks by hash, so that every pair of sets meets in a task of two blocks.
+   Regions of sketches are split in the same way, by the sketches' metric.
 5. Every link between different sets is kept once; those that join two trees are
    marked, and components found from them. A document's links are those of its set,
    each counted by the copies of the other set, and the other copies of its own.
@@ -55,8 +58,12 @@ from gleaner.llm.components import components
 from gleaner.session import shared_dir
 
 BUCKETS = 512
-#: Member lists of at most this many nodes are sent to all executors to pick texts (32 MB of ids).
-BROADCAST_NODES = 4_000_000
+#: A block of sets holds about so many bytes at most, unless one set alone is larger.
+BYTES = 1 << 25
+#: Pivots of a region that is split over the cluster, and rounds of that.
+PIVOTS, ROUNDS = 8, 12
+#: 64-bit words of the filter that is sent to all executors to pick texts: 16 MB, however many texts are wanted.
+FILTER = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -173,8 +180,30 @@ def signatures(h: np.ndarray, first: np.ndarray, law: Law) -> tuple[np.ndarray,
     return np.concatenate(sig), np.concatenate(who)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[pa.RecordBatch]:
+def wanted(keys: DataFrame) -> np.ndarray:
+    """A filter of fixed size over a column of 64-bit keys: three bits of one word for each."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {shift}) & 63L as int))" for shift in (40, 46, 52))
+    rows = keys.toDF("key").selectExpr(f"cast(key & {FILTER - 1}L as int) as word", f"{bits} as bits")
+    got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER rows at most
+    out = np.zeros(FILTER, np.uint64)
+    out[np.asarray(got["word"])] = np.asarray(got["bits"]).view(np.uint64)
+    return out
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter; all that are in it pass."""
+    key = keys.view(np.uint64)
+    have = words[(key & np.uint64(len(words) - 1)).astype(np.int64)]
+    out = np.ones(len(keys), bool)
+    for shift in (40, 46, 52):
+        out &= (have >> (key >> np.uint64(shift) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str, sent=None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if sent is not None:
+            batch = batch.filter(pa.array(passes(sent.value, np.asarray(batch.column(1)))))
         for lo, hi, bounds, data in W.groups(batch.column(0)):
             h, first = sets(bounds, data, law.k)
             name, size = names(h, first), np.diff(first)
@@ -382,36 +411,109 @@ def _regions(batches: Iterator[pa.RecordBatch], law: Law, every: bool) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(node[a[at]]), pa.array(node[b[at]]), pa.array(tree[at])], ["a", "b", "tree"])
 
 
+def _distances(what: str, pivots: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Exact distances of a set, or of a sketch, to others."""
+    if what == "sets":
+        common = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x) for p in pivots])
+        return 1 - common / (np.array([len(p) for p in pivots]) + len(x) - common)
+    each = np.array(pivots)
+    low, high = np.minimum(each, x).sum(1, dtype=np.int64), np.maximum(each, x).sum(1, dtype=np.int64)
+    return 1 - low / high
+
+
+def _cells(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[pa.RecordBatch]:
+    """Rows (p, salt, k, node, blob) sorted so that a share's pivots (k >= 0) come first -> (p, k, node): the cells of each member."""
+    kind = np.uint64 if what == "sets" else np.uint8
+    key, live, pivots = None, [], []
+    window = 2 * (1 - law.share) + 1e-9
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for p, salt, k, node, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if (p, salt) != key:
+                key, live, pivots = (p, salt), [], []
+            if k >= 0:
+                if blob is not None:
+                    live.append(k)
+                    pivots.append(np.frombuffer(blob, kind))
+            elif blob is None or not live:  # nothing is known of it: it goes everywhere
+                out.extend((p, c, node) for c in live or [0])
+            else:
+                d = _distances(what, pivots, np.frombuffer(blob, kind))
+                out.extend((p, live[c], node) for c in np.flatnonzero(d <= d.min() + window).tolist())
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["p", "k", "node"])
+
+
+def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int) -> tuple[DataFrame, bool]:
+    """Members (p, node, bytes) of regions -> the same of Voronoi cells that fit a task or don't shrink; and whether any was split."""
+    done, now, any_split = [], members, False
+    for level in range(ROUNDS):
+        count = now.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
+        big = count.where((F.col("size") > 2 * block) | (F.col("total") > 2 * BYTES)).where("size > 2").checkpoint()
+        if big.isEmpty():
+            break
+        done.append(now.join(big.select("p"), "p", "left_anti"))
+        now = now.join(big.select("p", "size"), "p")
+        # pivots are the members of least hash, so that any cluster may have one; shares of a region hold about ``block`` members
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(f"{level}:{j}")), "node"))["node"] for j in range(PIVOTS)]
+        chosen = now.groupBy("p", "size").agg(F.array_distinct(F.array(*least)).alias("nodes"))
+        shares = F.ceil(F.col("size") / block).cast("int")
+        pivots = chosen.select("p", "size", F.posexplode("nodes").alias("k", "node")).select("p", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), "k", "node")
+        each = now.select("p", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.lit(-1).alias("k"), "node")
+        met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "hashes")
+        met = met.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("k"), "node")
+        cells = met.mapInArrow(lambda b: _cells(b, law, what), "p long, k int, node long").checkpoint()
+        # a region stays whole where a cell has nearly all of it
+        sizes = cells.groupBy("p", "k").agg(F.count(F.lit(1)).alias("cell"))
+        dense = sizes.groupBy("p").agg(F.max("cell").alias("most")).join(big, "p").where("most > 0.7 * size").select("p")
+        done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes"))
+        fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node")
+        now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes").checkpoint()
+        any_split = True
+    for rest in done:
+        now = now.unionByName(rest)
+    return now, any_split
+
+
 def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024, every: bool = True) -> DataFrame:
     """Links (a, b, tree) between nodes, each once: all, or a forest with their components, which tree marks."""
-    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
+    spark = df.sparkSession
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
     parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts"), "sig long, node long")
-    pivots = parts.select("node", F.expr("min(node) over (partition by sig)").alias("p")).where("node <> p")
-    edges = pivots.distinct().checkpoint()
+    # the smallest node of a signature by partial aggregates; a signature that many share is no task of its own
+    least = parts.groupBy("sig").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("sig", "p")
+    edges = parts.join(least, "sig").where("node <> p").select("node", "p").distinct().checkpoint()
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
 
-    def tasks(of: DataFrame) -> DataFrame:
-        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b)."""
-        count = of.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        placed = of.join(count, "p").select("p", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        placed = placed.select("p", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        return placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
-
     def blobs(of: DataFrame, what: str) -> DataFrame:
         """(node, hashes) from the texts of one document for each node."""
-        picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("pick")).select("pick").distinct().checkpoint()
-        few = picked.count() <= BROADCAST_NODES
-        texts = rows.join(F.broadcast(picked) if few else picked, F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi").select("text")
-        return texts.mapInArrow(lambda b: _nodes(b, law, what), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-
-    def dealt(of: DataFrame, what: str) -> DataFrame:
-        met = of.join(blobs(of, what), "node").select("p", "i", "j", "block", "node", "hashes")
-        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
+        picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
+        sent = spark.sparkContext.broadcast(wanted(picked.select("key")))
+        # others that pass the filter go with the join on node
+        return rows.mapInArrow(lambda b: _nodes(b, law, what, sent), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+    def dealt(of: DataFrame, what: str) -> tuple[DataFrame, bool]:
+        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b); and whether pairs may meet twice."""
+        sketch = what == "sketches"
+        size = F.lit(BUCKETS) if sketch else F.col("n") * 8
+        known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+        held = blobs(of, what).checkpoint()
+        cells, twice = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes")), held, law, what, block)
+        count = cells.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total")).where("size > 1")
+        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BYTES)).cast("int")
+        placed = cells.join(count, "p").select("p", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        placed = placed.select("p", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        placed = placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
+        met = placed.join(held, "node").select("p", "i", "j", "block", "node", "hashes")
+        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node"), twice
 
-    near = components(dealt(tasks(members), "sketches").mapInArrow(lambda b: _near(b, law), "a long, b long"))
+    near = components(dealt(members, "sketches")[0].mapInArrow(lambda b: _near(b, law), "a long, b long"))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
-    return dealt(tasks(regions), "sets").mapInArrow(lambda b: _regions(b, law, every), "a long, b long, tree boolean").checkpoint()
+    tasks, twice = dealt(regions, "sets")
+    found = tasks.mapInArrow(lambda b: _regions(b, law, every), "a long, b long, tree boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree")
+    if twice:  # cells overlap
+        found = found.groupBy("a", "b").agg(F.max("tree").alias("tree"))
+    return found.checkpoint()
 
 
 def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
@@ -450,7 +552,10 @@ def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col:
     sizes = _sizes(df, law, id_col, text_col)
     # a forest has the same components
     met = links(df, sizes, law, id_col, text_col, every=False)
-    found = _placed(sizes, met).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg((F.count(F.lit(1)) > 1).alias("__many"))
     lone = df.where(F.col(id_col).isNull())
-    kept = df.join(found, F.col(id_col) == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]).unionByName(lone)
+    # only rows whose id another row has are compared with others; the texts of the rest are not shuffled for it
+    kept = df.join(found, F.col(id_col) == F.col("__keep"))
+    mark = F.xxhash64(id_col, text_col).alias("__row")
+    again = kept.where("__many").select(*df.columns, mark).dropDuplicates(["__row"])
+    return kept.where("not __many").select(*df.columns).unionByName(again.select(*df.columns)).unionByName(lone)

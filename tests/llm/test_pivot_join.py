@@ -142,3 +142,65 @@ def test_classes_of_registered_laws_are_as_before():
     for num in (80, 90):
         low = pj.classes(pj.Law(3, num, 100))[0]
         assert all(b == max(a + 1, pj.math.ceil(a * 1.25)) for a, b in zip(low, low[1:]))
+
+
+@pytest.mark.parametrize(("num", "block"), [(70, 9), (75, 1024), (80, 6), (90, 5)])
+def test_split_regions_equal_brute_force(spark, num, block):
+    """Families of near copies larger than a task, at several similarities: every link, and components."""
+    r = random.Random(num)
+    rows = []
+    for f in range(4):
+        # in a family, changes drift: neighbours are near, the ends are far apart
+        words = [f"f{f}w{i}" for i in range(40)]
+        for _ in range(25):
+            words[r.randrange(40)] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), rows[3][1]), (len(rows) + 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in pj.join(df, pj.Law(1, num, 100), block=block).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute(rows, 1, num, 100)
+    s = [shingles(t, 1) for _, t in rows]
+    want = {i: sum(i != j and bool(x) and bool(y) and 100 * len(x & y) >= num * len(x | y) for j, y in enumerate(s)) for i, x in enumerate(s)}
+    assert {x.doc_id: x.n_links for x in pj.join(df, pj.Law(1, num, 100), block=block).collect()} == want
+
+
+def drifting(n=60):
+    r = random.Random(2)
+    words, out = [f"w{i}" for i in range(60)], []
+    for i in range(n):
+        words[r.randrange(60)] = f"x{i}"
+        out.append(np.unique(np.array([hash(w) & (1 << 62) - 1 for w in words], np.uint64)))
+    return out
+
+
+def test_cells_replicate_what_links_need(monkeypatch):
+    """With windows of 2t both ends of every link meet in a cell; without replication some don't."""
+    sets, law = drifting(), pj.Law(1, 80, 100)
+
+    def met(share):
+        rows = [(0, 0, k, 1000 + k, sets[x].tobytes()) for k, x in enumerate((0, 20, 40, 59))] + [(0, 0, -1, i, s.tobytes()) for i, s in enumerate(sets)]
+        batch = pj.pa.RecordBatch.from_arrays([pj.pa.array(c) for c in zip(*rows)], ["p", "salt", "k", "node", "hashes"])
+        of = {}
+        for out in pj._cells(iter([batch]), pj.Law(1, share, 100), "sets"):
+            for _, k, node in zip(*(out.column(i).to_pylist() for i in range(3))):
+                of.setdefault(node, set()).add(k)
+        return of
+
+    linked = [(i, j) for i in range(60) for j in range(i) if law.den * len(np.intersect1d(sets[i], sets[j])) >= law.num * len(np.union1d(sets[i], sets[j]))]
+    whole, narrow = met(80), met(99.9999)
+    assert all(whole[i] & whole[j] for i, j in linked) and sum(map(len, whole.values())) < 4 * 60
+    assert not all(narrow[i] & narrow[j] for i, j in linked)
+
+
+def test_filter_passes_all_that_are_wanted(spark):
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
+    words = pj.wanted(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert pj.passes(words, keys).all() and pj.passes(words, ~keys).mean() < 0.01
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in pj.join(df, pj.Law(3, 90, 100)).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3)]
+    assert pj.keep_one(df).count() == 2
