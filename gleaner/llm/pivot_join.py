@@ -28,9 +28,10 @@ at least ``num/den`` (distance at most t). Steps:
    cell, if it is larger than a task (``block`` sets, ``BYTES`` bytes), is dealt into
    pairs of blocks by hash, so that every pair of sets meets in a task of two blocks.
    Regions of sketches are split in the same way, by the sketches' metric.
-5. Every link between different sets is kept once; those that join two trees are
-   marked, and components found from them. A document's links are those of its set,
-   each counted by the copies of the other set, and the other copies of its own.
+5. A task counts for each set the copies of the sets it links to, every link in one
+   cell only, and gives the links that join two trees, from which components are found.
+   A document's links are those of its set and the other copies of its own. Links are
+   counted, not listed: a family of n sets has up to n * n of them.
 
 All comparisons are exact on 64-bit shingle hashes; nothing is sampled or capped.
 Many copies of a text meet in one node before any comparison.
@@ -257,12 +258,18 @@ class Region:
     def root(self, x: int) -> int:
         return int(self.comp[x])
 
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The two ends of each link, and whether it is one of the forest."""
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two ends of the links that hold the components together."""
         tree = np.array(self.tree, np.int64)
-        code = np.unique(np.concatenate((*self.found, tree)))
+        return tree // len(self.size), tree % len(self.size)
+
+    def degrees(self, copies: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """For each set the copies of the sets it links to; a link counts where its first end is at home."""
         n = len(self.size)
-        return code // n, code % n, np.isin(code, tree)
+        code = np.unique(np.concatenate((*self.found, np.zeros(0, np.int64))))  # met in several cells
+        a, b = code // n, code % n
+        a, b = a[home[a]], b[home[a]]
+        return (np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)).astype(np.int64)
 
     def common(self, y: int, ids: np.ndarray) -> np.ndarray:
         """|y & x| for x in ids."""
@@ -338,15 +345,15 @@ class Region:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
-    """Rows (p, i, j, block, node, blob) sorted by (p, i, j) -> the members of each task."""
+    """Rows (p, i, j, block, node, blob, copies, home) sorted by (p, i, j, node) -> the members of each task."""
     key, members = None, []
     for batch in batches:
-        for p, i, j, block, node, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for p, i, j, block, *member in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
             if (p, i, j) != key:
                 if len(members) > 1:
                     yield key, members
                 key, members = (p, i, j), []
-            members.append((node, blob, block))
+            members.append((*member, block))
     if len(members) > 1:
         yield key, members
 
@@ -379,7 +386,7 @@ def _near(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatc
     """Each task's sketches -> links by sketches."""
     out: list[tuple[int, int]] = []
     for key, members in _runs(batches):
-        nodes, blobs, block = zip(*members, strict=True)
+        nodes, blobs, _, _, block = zip(*members, strict=True)
         if None in blobs:
             out.extend((nodes[0], x) for x in nodes[1:])
         else:
@@ -398,17 +405,19 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _regions(batches: Iterator[pa.RecordBatch], law: Law, every: bool) -> Iterator[pa.RecordBatch]:
-    """Each task's sets -> links."""
+    """Each task's sets -> links (a, b, 0) that hold its components together, and (a, null, copies linked to) for each set."""
     for key, members in _runs(batches):
-        nodes, blobs, block = zip(*members, strict=True)
+        nodes, blobs, copies, home, block = zip(*members, strict=True)
         region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block), every)
-        # the pivot is the smallest node, and the first pivot of its region
+        # sorted by node: of two ends the first is the smaller node; the smallest is the first pivot
         node = np.array(nodes)
-        region.join(np.argsort(node, kind="stable"))
-        a, b, tree = region.links()
-        for lo in range(0, len(a), 1 << 16):
-            at = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a[at]]), pa.array(node[b[at]]), pa.array(tree[at])], ["a", "b", "tree"])
+        region.join(np.arange(len(node)))
+        a, b = region.forest()
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "n"])
+        if every:
+            n = region.degrees(np.array(copies), np.array(home, bool))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], ["a", "b", "n"])
 
 
 def _distances(what: str, pivots: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -422,13 +431,17 @@ def _distances(what: str, pivots: list[np.ndarray], x: np.ndarray) -> np.ndarray
 
 
 def _cells(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[pa.RecordBatch]:
-    """Rows (p, salt, k, node, blob) sorted so that a share's pivots (k >= 0) come first -> (p, k, node): the cells of each member."""
+    """Rows (p, salt, k, node, home, blob) sorted so that a share's pivots (k >= 0) come first -> (p, k, node, home).
+
+    A member is in the cell of its nearest pivot, its home, and in those within 2t of that. Both
+    ends of a link are in the home of either, so one cell of all that they share counts as its place.
+    """
     kind = np.uint64 if what == "sets" else np.uint8
     key, live, pivots = None, [], []
     window = 2 * (1 - law.share) + 1e-9
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for p, salt, k, node, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+        out: list[tuple[int, int, int, bool]] = []
+        for p, salt, k, node, home, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
             if (p, salt) != key:
                 key, live, pivots = (p, salt), [], []
             if k >= 0:
@@ -436,17 +449,18 @@ def _cells(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[p
                     live.append(k)
                     pivots.append(np.frombuffer(blob, kind))
             elif blob is None or not live:  # nothing is known of it: it goes everywhere
-                out.extend((p, c, node) for c in live or [0])
+                out.extend((p, c, node, home and i == 0) for i, c in enumerate(live or [0]))
             else:
                 d = _distances(what, pivots, np.frombuffer(blob, kind))
-                out.extend((p, live[c], node) for c in np.flatnonzero(d <= d.min() + window).tolist())
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["p", "k", "node"])
+                near = int(np.argmin(d))
+                out.extend((p, live[c], node, home and c == near) for c in np.flatnonzero(d <= d[near] + window).tolist())
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["p", "k", "node", "home"])
 
 
-def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int) -> tuple[DataFrame, bool]:
-    """Members (p, node, bytes) of regions -> the same of Voronoi cells that fit a task or don't shrink; and whether any was split."""
-    done, now, any_split = [], members, False
+def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int) -> DataFrame:
+    """Members (p, node, bytes, home) of regions -> the same of Voronoi cells that fit a task or don't shrink."""
+    done, now = [], members
     for level in range(ROUNDS):
         count = now.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
         big = count.where((F.col("size") > 2 * block) | (F.col("total") > 2 * BYTES)).where("size > 2").checkpoint()
@@ -458,25 +472,25 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int)
         least = [F.min(F.struct(F.xxhash64("node", F.lit(f"{level}:{j}")), "node"))["node"] for j in range(PIVOTS)]
         chosen = now.groupBy("p", "size").agg(F.array_distinct(F.array(*least)).alias("nodes"))
         shares = F.ceil(F.col("size") / block).cast("int")
-        pivots = chosen.select("p", "size", F.posexplode("nodes").alias("k", "node")).select("p", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), "k", "node")
-        each = now.select("p", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.lit(-1).alias("k"), "node")
-        met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "hashes")
+        pivots = chosen.select("p", "size", F.posexplode("nodes").alias("k", "node")).select("p", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), "k", "node", F.lit(False).alias("home"))
+        each = now.select("p", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.lit(-1).alias("k"), "node", "home")
+        met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "home", "hashes")
         met = met.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("k"), "node")
-        cells = met.mapInArrow(lambda b: _cells(b, law, what), "p long, k int, node long").checkpoint()
+        cells = met.mapInArrow(lambda b: _cells(b, law, what), "p long, k int, node long, home boolean").checkpoint()
         # a region stays whole where a cell has nearly all of it
         sizes = cells.groupBy("p", "k").agg(F.count(F.lit(1)).alias("cell"))
         dense = sizes.groupBy("p").agg(F.max("cell").alias("most")).join(big, "p").where("most > 0.7 * size").select("p")
-        done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes"))
-        fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node")
-        now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes").checkpoint()
-        any_split = True
+        done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes", "home"))
+        fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node", "home")
+        now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes", "home").checkpoint()
     for rest in done:
         now = now.unionByName(rest)
-    return now, any_split
+    return now
 
 
 def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024, every: bool = True) -> DataFrame:
-    """Links (a, b, tree) between nodes, each once: all, or a forest with their components, which tree marks."""
+    """Rows (a, b, 0): links between nodes that have the components of all; and, if ``every``, (a, null, n): n documents that
+    have another set and link to those of node a, in parts to be added. Links of a family are counted, never listed."""
     spark = df.sparkSession
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
     parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts"), "sig long, node long")
@@ -492,28 +506,23 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
         # others that pass the filter go with the join on node
         return rows.mapInArrow(lambda b: _nodes(b, law, what, sent), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
-    def dealt(of: DataFrame, what: str) -> tuple[DataFrame, bool]:
-        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b); and whether pairs may meet twice."""
-        sketch = what == "sketches"
-        size = F.lit(BUCKETS) if sketch else F.col("n") * 8
-        known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-        held = blobs(of, what).checkpoint()
-        cells, twice = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes")), held, law, what, block)
+    def dealt(of: DataFrame, what: str) -> DataFrame:
+        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b)."""
+        size = F.lit(BUCKETS) if what == "sketches" else F.col("n") * 8
+        known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        held = blobs(of, what).join(known.select("node", "copies"), "node").checkpoint()
+        cells = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes"), F.lit(True).alias("home")), held, law, what, block)
         count = cells.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total")).where("size > 1")
         blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BYTES)).cast("int")
-        placed = cells.join(count, "p").select("p", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        placed = placed.select("p", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        placed = placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
-        met = placed.join(held, "node").select("p", "i", "j", "block", "node", "hashes")
-        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node"), twice
+        placed = cells.join(count, "p").select("p", "node", "home", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        placed = placed.select("p", "node", "home", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        placed = placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "home")
+        met = placed.join(held, "node").select("p", "i", "j", "block", "node", "hashes", "copies", "home")
+        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
 
-    near = components(dealt(members, "sketches")[0].mapInArrow(lambda b: _near(b, law), "a long, b long"))
+    near = components(dealt(members, "sketches").mapInArrow(lambda b: _near(b, law), "a long, b long"))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
-    tasks, twice = dealt(regions, "sets")
-    found = tasks.mapInArrow(lambda b: _regions(b, law, every), "a long, b long, tree boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree")
-    if twice:  # cells overlap
-        found = found.groupBy("a", "b").agg(F.max("tree").alias("tree"))
-    return found.checkpoint()
+    return dealt(regions, "sets").mapInArrow(lambda b: _regions(b, law, every), "a long, b long, n long").checkpoint()
 
 
 def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
@@ -525,7 +534,7 @@ def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
 
 def _placed(sizes: DataFrame, met: DataFrame) -> DataFrame:
     """doc_id, n, node and component_id of each row of sizes."""
-    found = components(met.where("tree").select("a", "b"))
+    found = components(met.where("b is not null").select("a", "b"))
     placed = sizes.where("n > 0").join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     full = placed.join(ids, "root").select("doc_id", "n", "node", "component_id")
@@ -537,8 +546,7 @@ def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str
     sizes = _sizes(df, law, id_col, text_col)
     met = links(df, sizes, law, id_col, text_col, block)
     copies = sizes.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    ends = met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    others = met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     degree = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     full = _placed(sizes, met).join(degree, "node", "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")

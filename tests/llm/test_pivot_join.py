@@ -176,20 +176,25 @@ def drifting(n=60):
 def test_cells_replicate_what_links_need(monkeypatch):
     """With windows of 2t both ends of every link meet in a cell; without replication some don't."""
     sets, law = drifting(), pj.Law(1, 80, 100)
+    homes = {}
 
     def met(share):
-        rows = [(0, 0, k, 1000 + k, sets[x].tobytes()) for k, x in enumerate((0, 20, 40, 59))] + [(0, 0, -1, i, s.tobytes()) for i, s in enumerate(sets)]
-        batch = pj.pa.RecordBatch.from_arrays([pj.pa.array(c) for c in zip(*rows)], ["p", "salt", "k", "node", "hashes"])
+        rows = [(0, 0, k, 1000 + k, False, sets[x].tobytes()) for k, x in enumerate((0, 20, 40, 59))] + [(0, 0, -1, i, True, s.tobytes()) for i, s in enumerate(sets)]
+        batch = pj.pa.RecordBatch.from_arrays([pj.pa.array(c) for c in zip(*rows)], ["p", "salt", "k", "node", "home", "hashes"])
         of = {}
         for out in pj._cells(iter([batch]), pj.Law(1, share, 100), "sets"):
-            for _, k, node in zip(*(out.column(i).to_pylist() for i in range(3))):
+            for _, k, node, home in zip(*(out.column(i).to_pylist() for i in range(4))):
                 of.setdefault(node, set()).add(k)
+                if home:
+                    assert homes.setdefault((share, node), k) == k
         return of
 
     linked = [(i, j) for i in range(60) for j in range(i) if law.den * len(np.intersect1d(sets[i], sets[j])) >= law.num * len(np.union1d(sets[i], sets[j]))]
     whole, narrow = met(80), met(99.9999)
     assert all(whole[i] & whole[j] for i, j in linked) and sum(map(len, whole.values())) < 4 * 60
     assert not all(narrow[i] & narrow[j] for i, j in linked)
+    # the home of either end holds both, so each link counts in one cell
+    assert all(homes[80, i] in whole[j] and homes[80, j] in whole[i] for i, j in linked)
 
 
 def test_filter_passes_all_that_are_wanted(spark):
