@@ -534,10 +534,14 @@ def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
 
 def _placed(sizes: DataFrame, met: DataFrame) -> DataFrame:
     """doc_id, n, node and component_id of each row of sizes."""
-    found = components(met.where("b is not null").select("a", "b"))
-    placed = sizes.where("n > 0").join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(ids, "root").select("doc_id", "n", "node", "component_id")
+    stars = components(met.where("b is not null").select("a", "b"))
+    stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    # all but the last join are by distinct texts, and those by root only hold texts that have links
+    nodes = sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
+    lowest = stars.join(nodes, "node").groupBy("root").agg(F.min("low").alias("lowest"))
+    linked = stars.join(lowest, "root").select("node", "lowest")
+    named = nodes.join(linked, "node", "left").select("node", F.coalesce("lowest", "low").alias("component_id"))
+    full = sizes.where("n > 0").join(named, "node").select("doc_id", "n", "node", "component_id")
     return full.unionByName(sizes.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
 
 
