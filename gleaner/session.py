@@ -51,12 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a laptop) a local folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset
+    and all of Spark runs in one process (tests, a laptop) a local folder is made and set;
+    on a cluster no folder of one machine would do, so there it is an error.
     """
     ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gleaner-")

@@ -3,6 +3,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from gleaner import session
+
 REPO = Path(__file__).resolve().parent.parent
 
 
@@ -22,6 +26,24 @@ def test_core_stands_without_the_training_data_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_core_stands_without_what_the_training_data_part_needs(tmp_path):
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(REPO)})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    session.ship.done = "x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_nothing_else_imports_it():
     for f in (REPO / "gleaner").rglob("*.py"):
         if "llm" not in f.parts:
