@@ -203,7 +203,7 @@ def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str, sent=None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if sent is not None:
+        if what in ("sketches", "sets"):
             batch = batch.filter(pa.array(passes(sent.value, np.asarray(batch.column(1)))))
         for lo, hi, bounds, data in W.groups(batch.column(0)):
             h, first = sets(bounds, data, law.k)
@@ -230,8 +230,16 @@ def _nodes(batches: Iterator[pa.RecordBatch], law: Law, what: str, sent=None) ->
                 one = np.zeros(len(name), bool)
                 one[at] = True
                 sig, who = signatures(h, first, law)
-                keep = one[who]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(name[who[keep]])], ["sig", "node"])
+                keep = one[who] if what == "heads" else one[who] & passes(sent.value, sig)
+                sig, node = sig[keep], name[who[keep]]
+                if what == "heads":  # of all that share a signature here, the ends
+                    order = np.lexsort((node, sig))
+                    sig, node = sig[order], node[order]
+                    new = np.ones(len(sig) + 1, bool)
+                    new[1:-1] = sig[1:] != sig[:-1]
+                    ends = new[:-1] | new[1:]
+                    sig, node = sig[ends], node[ends]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
 
 
 class Region:
@@ -493,9 +501,12 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     have another set and link to those of node a, in parts to be added. Links of a family are counted, never listed."""
     spark = df.sparkSession
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
-    parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts"), "sig long, node long")
-    # the smallest node of a signature by partial aggregates; a signature that many share is no task of its own
-    least = parts.groupBy("sig").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("sig", "p")
+    # the smallest and largest node of each signature; of those in one group of texts only the ends are shuffled
+    heads = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "heads"), "sig long, node long").repartition("sig")
+    least = heads.groupBy("sig").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("sig", "p").checkpoint()
+    # a filter of fixed size leaves out most signatures that no other set has
+    shared = spark.sparkContext.broadcast(wanted(least.select("sig")))
+    parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts", shared), "sig long, node long")
     edges = parts.join(least, "sig").where("node <> p").select("node", "p").distinct().checkpoint()
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
 
