@@ -39,7 +39,7 @@ from gleaner.llm.chunks import Memo, cut, spread
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
 FREE = np.int64(1 << 40)
-MEMO = 400_000
+MEMO = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -208,11 +208,11 @@ class Codec:
         self._pieces = Memo(self._merged, MEMO)
         self._chunks = Memo(self._tokens, MEMO)
 
-    def _merged(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct pieces."""
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, four bytes each."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         length = np.array([len(r) for r in raw])
-        out: list = [None] * len(raw)
+        out = [b""] * len(raw)
         first = np.array(self.first, np.int32)
         low = 0
         for size in (1, 2, 4, 8, 16, 32):
@@ -224,29 +224,27 @@ class Codec:
                 symbols = np.full((len(rows), size + 1), -1, np.int32)
                 symbols[np.arange(size + 1) < n[:, None]] = first[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
                 ids, count = merge_many(symbols, self.pairs)
-                ids, ends = ids.tolist(), np.cumsum(count).tolist()
+                flat, ends = ids.astype(np.int32).tobytes(), (np.cumsum(count) * 4).tolist()
                 for i, x, y in zip(rows.tolist(), [0, *ends], ends, strict=False):
-                    out[i] = tuple(ids[x:y])
+                    out[i] = flat[x:y]
         for i in np.flatnonzero(length > low):
-            out[i] = tuple(merge([self.first[b] for b in raw[i]], self.ranks))
-        return [x if x is not None else () for x in out]
+            out[i] = np.array(merge([self.first[b] for b in raw[i]], self.ranks), np.int32).tobytes()
+        return out
 
-    def _tokens(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct strings, each cut into pieces on its own."""
+    def _tokens(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct strings, each cut into pieces on its own, four bytes each."""
         cuts = [self._cut.findall(c) for c in chunks]
         distinct = list(dict.fromkeys(chain.from_iterable(cuts)))
         known = dict(zip(distinct, self._pieces(distinct), strict=True))
-        return [known[c[0]] if len(c) == 1 else tuple(chain.from_iterable([known[p] for p in c])) for c in cuts]
+        return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cuts]
 
-    def _whole(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> bytes:
         """Ids of a text that isn't the sequence of its chunks, special tokens first."""
         out, at = [], 0
         for m in self._special.finditer(text) if self._special else ():
-            out += self._tokens([text[at : m.start()]])[0]
-            out.append(self.special[m[0]])
+            out += [*self._tokens([text[at : m.start()]]), np.int32(self.special[m[0]]).tobytes()]
             at = m.end()
-        out += self._tokens([text[at:]])[0]
-        return out
+        return b"".join([*out, *self._tokens([text[at:]])])
 
     def encode_column(self, texts: pa.Array) -> Iterator[list[int]]:
         """Ids of each text; a null text is empty."""
@@ -266,7 +264,8 @@ class Codec:
         for a, head in zip(heads, opening, strict=True):  # no space before the first chunk
             each[a] = known[head]
         for i, (a, b) in enumerate(zip(heads, first[1:].tolist(), strict=True)):
-            yield self._whole(texts[i].as_py()) if whole[i] else list(chain.from_iterable(each[a:b]))
+            ids = self._whole(texts[i].as_py()) if whole[i] else b"".join(each[a:b])
+            yield np.frombuffer(ids, np.int32).tolist()
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_column(pa.array([text], pa.string())))
