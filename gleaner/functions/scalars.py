@@ -280,18 +280,27 @@ def script_counts(x: Column) -> dict[str, Column]:
     return out
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def guess_language(x: Column, folded: Column | None = None, foreign: float = 0.15, english: float = 0.25) -> Column:
     """ja, ko, zh, ru or en where the writing tells, else und. x in NFC; folded for English words."""
-    c = script_counts(x)
-    letters = reduce(lambda a, b: a + b, c.values())
     w = words(F.lower(x) if folded is None else folded)
-    hits = F.size(F.filter(w, lambda v: v.isin(*ENGLISH_WORDS)))
-    by_script = (
-        F.when(c["hangul"] > c["kana"] + c["han"], "ko").when(c["kana"] > 0, "ja").when((c["cyrillic"] > 0) & (c["cyrillic"] >= c["other"]), "ru")
-        .when((c["han"] > 0) & (c["han"] >= c["other"]), "zh").otherwise("und")
-    )
-    by_words = F.when((F.size(w) > 0) & (hits / F.size(w) >= english), "en").otherwise("und")
-    return F.when(letters == 0, "en").when((letters - c["latin"]) / letters >= foreign, by_script).otherwise(by_words)
+    hits = bound(w, lambda v: F.struct(F.size(v).alias("words"), F.size(F.filter(v, lambda t: t.isin(*ENGLISH_WORDS))).alias("hits")))
+    seen = F.struct(*(n.alias(name) for name, n in script_counts(x).items()), hits.alias("english"))
+
+    def told(c: Column) -> Column:
+        letters = reduce(lambda a, b: a + b, (c[name] for name in (*SCRIPTS, "latin", "other")))
+        by_script = (
+            F.when(c["hangul"] > c["kana"] + c["han"], "ko").when(c["kana"] > 0, "ja").when((c["cyrillic"] > 0) & (c["cyrillic"] >= c["other"]), "ru")
+            .when((c["han"] > 0) & (c["han"] >= c["other"]), "zh").otherwise("und")
+        )
+        by_words = F.when((c["english"]["words"] > 0) & (c["english"]["hits"] / c["english"]["words"] >= english), "en").otherwise("und")
+        return F.when(letters == 0, "en").when((letters - c["latin"]) / letters >= foreign, by_script).otherwise(by_words)
+
+    return bound(seen, told)
 
 
 def line_language(x: Column, song: Column) -> Column:

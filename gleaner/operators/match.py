@@ -13,12 +13,20 @@ def duration_gap(a: Column, b: Column) -> Column:
     return F.abs(F.nullif(a.cast("double"), F.lit(0.0)) - F.nullif(b.cast("double"), F.lit(0.0)))
 
 
-def top_matches(queries: DataFrame, hits: DataFrame, block: list[str], score: Column, order: list[Column], key: str, accept: Column | None = None, above: float | None = 0.0, k: int = 1) -> DataFrame:
+def top_matches(queries: DataFrame, hits: DataFrame, block: list[str], score: Column, order: list[Column], key: str, accept: Column | None = None, above: float | None = 0.0, k: int = 1, near: tuple[Column, Column, float] | None = None) -> DataFrame:
     """The k best hits of each query: equi-join on ``block``, ``accept``, then score above a floor.
 
     ``order`` makes the order total; a query without a hit has no row. Adaptive skew
-    joins split hot blocks; null blocks meet nothing.
+    joins split hot blocks; null blocks meet nothing. ``near`` (a query's value, a hit's
+    value, the widest gap that ``accept`` allows) also joins on bands of that width, a
+    hit in its own and both next to it, so a block's rows don't all meet.
     """
+    if near is not None:
+        own, other, width = near
+        queries = queries.withColumn("__band", F.floor(own / width))
+        band = F.floor(other / width)
+        hits = hits.withColumn("__band", F.explode(F.array(band - 1, band, band + 1)))
+        block = [*block, "__band"]
     both = queries.join(hits, block)
     if accept is not None:
         both = both.where(accept)
@@ -29,6 +37,12 @@ def top_matches(queries: DataFrame, hits: DataFrame, block: list[str], score: Co
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_of_block(queries: DataFrame, hits: DataFrame, block: list[str], order: list[Column], k: int) -> DataFrame:
+    """As ``top_matches`` where the order is the same for all queries of a block: hits are ranked once, then joined, k to a query."""
+    w = Window.partitionBy(*block).orderBy(*order)
+    return queries.join(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), block)
+
+
 def hit_score(title: Column, artist: Column, synced: Column, exact: Column, gap: Column) -> Column:
     """2 title + artist, 2 more for timed text and 1/4 for an exact answer, less a tenth of the gap."""
     return 2 * title + F.coalesce(artist, F.lit(0.0)) + F.when(synced, 2.0).otherwise(0.0) + F.when(exact, 0.25).otherwise(0.0) - F.coalesce(gap, F.lit(0.0)) / 10

@@ -120,14 +120,14 @@ def best_match_band(t):
     q = t("customer").select("c_custkey", c("c_nationkey").alias("nation"), "c_acctbal")
     h = t("supplier").select("s_suppkey", c("s_nationkey").alias("nation"), "s_acctbal")
     gap = F.abs(c("c_acctbal") - c("s_acctbal"))
-    return match.top_matches(q, h, ["nation"], F.lit(3.0) - gap / 1000, [c("s_suppkey")], "c_custkey", gap <= 2500).select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
+    return match.top_matches(q, h, ["nation"], F.lit(3.0) - gap / 1000, [c("s_suppkey")], "c_custkey", gap <= 2500, near=(c("c_acctbal"), c("s_acctbal"), 2500)).select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
 
 
 @query("""WITH x AS (SELECT c_custkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) AS rank
 FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT c_custkey, s_suppkey, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 3""")
 def top_candidates(t):
     q, h = t("customer").select("c_custkey", c("c_nationkey").alias("nation")), t("supplier").select("s_suppkey", "s_acctbal", c("s_nationkey").alias("nation"))
-    return match.top_matches(q, h, ["nation"], c("s_acctbal"), [c("s_suppkey")], "c_custkey", above=None, k=3).select("c_custkey", "s_suppkey", "rank")
+    return match.top_of_block(q, h, ["nation"], [F.desc("s_acctbal"), c("s_suppkey")], 3).select("c_custkey", "s_suppkey", "rank")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN u > p_retailprice * 1.5 OR u - p_retailprice > 60 THEN 'REJECT_MIX' WHEN u < p_retailprice * 0.4 THEN 'REJECT_SNIPPET' ELSE 'PASS' END AS status
@@ -248,18 +248,18 @@ def ledger_states(t):
     return ledger.statuses(t("customer"), led, "c_custkey", F.expr(_NOW), 30, ("click", "purchase"), c("c_acctbal") > 5000).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_LEDGER}, n AS (SELECT c_custkey AS user_id, c_mktsegment AS status, timestamp '2024-01-15 00:00:00' AS ts FROM customer WHERE c_custkey % 3 = 0 AND c_acctbal > 0),
+@query(f"""WITH {_LEDGER}, n AS (SELECT c_custkey AS user_id, c_mktsegment AS status, timestamp '2024-01-15 00:00:00' AS ts FROM customer WHERE c_acctbal > 0),
 u AS (SELECT *, 0 AS s FROM l UNION ALL SELECT *, 1 FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, s DESC) AS k FROM u)
 SELECT user_id, status, CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM r WHERE k = 1""")
 def ledger_upsert(t):
-    news = t("customer").where("c_custkey % 3 = 0").select(c("c_custkey").alias("user_id"), c("c_mktsegment").alias("status"), F.expr("timestamp_ntz '2024-01-15 00:00:00'").alias("at"), (c("c_acctbal") > 0).alias("certain"))
+    news = t("customer").select(c("c_custkey").alias("user_id"), c("c_mktsegment").alias("status"), F.expr("timestamp_ntz '2024-01-15 00:00:00'").alias("at"), (c("c_acctbal") > 0).alias("certain"))
     return ledger.upsert(_ledger(t), news, "user_id", certain="certain").select("user_id", "status", c("at").cast("timestamp").cast("long").alias("seen"))
 
 
-@query(f"""WITH {_LEDGER}, m AS (SELECT c_custkey AS o, c_custkey + 7 AS n FROM customer WHERE c_custkey % 5 = 0), f AS (SELECT * FROM m WHERE n NOT IN (SELECT user_id FROM l))
+@query(f"""WITH {_LEDGER}, m AS (SELECT c_custkey AS o, 3 * c_custkey + 7 AS n FROM customer), f AS (SELECT * FROM m WHERE n NOT IN (SELECT user_id FROM l))
 SELECT coalesce(n, user_id) AS user_id, status FROM l LEFT JOIN f ON user_id = o""")
 def ledger_rekey(t):
-    moves = t("customer").where("c_custkey % 5 = 0").select(c("c_custkey").alias("old"), (c("c_custkey") + 7).alias("new"))
+    moves = t("customer").select(c("c_custkey").alias("old"), (3 * c("c_custkey") + 7).alias("new"))
     return ledger.rekey(_ledger(t), moves, "user_id").select("user_id", "status")
 
 
@@ -294,27 +294,27 @@ def collision_names(t):
     return plan.collision_numbers(t("part"), F.lower("p_name"), [c("p_partkey")], c("p_name"), F.lit(".mp3")).select("p_partkey", "final")
 
 
-@query("""WITH taken AS (SELECT DISTINCT lower(p_name) AS s, CAST(p_size AS INTEGER) AS n FROM part WHERE p_size % 3 = 0 AND p_size >= 2),
+@query("""WITH taken AS (SELECT DISTINCT lower(p_name) AS s, CAST(greatest(p_size, 2) AS INTEGER) AS n FROM part),
 f AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY n) AS k FROM (SELECT DISTINCT lower(p_name) AS s FROM part) CROSS JOIN (SELECT unnest(range(1, 3000)) AS n)
 WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.s = lower(s) AND 1 = 0) AND (s, n) NOT IN (SELECT s, n FROM taken)),
 c AS (SELECT p_partkey, p_name, lower(p_name) AS s, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part)
 SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS final FROM c JOIN f USING (s, k)""")
 def free_name_numbers(t):
-    taken = t("part").where("p_size % 3 = 0 and p_size >= 2").select(F.concat("p_name", F.lit(" ("), c("p_size").cast("string"), F.lit(")")).alias("name"))
+    taken = t("part").select(F.concat("p_name", F.lit(" ("), F.greatest(c("p_size").cast("int"), F.lit(2)).cast("string"), F.lit(")")).alias("name"))
     return plan.free_names(t("part").select("p_partkey", "p_name"), "p_partkey", "p_name", taken, "name", [c("p_partkey")]).select("p_partkey", "final")
 
 
-@query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS step, event_id, event_type AS "from", props AS "to" FROM events WHERE event_type <> 'view'""")
+@query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS step, event_id, event_type AS "from", props AS "to" FROM events""")
 def undo_replay(t):
-    ops = t("events").where("event_type <> 'view'").withColumn("seq", F.struct("ts", "event_id"))
+    ops = t("events").withColumn("seq", F.struct("ts", "event_id"))
     return plan.undo_by(ops, ["user_id"], "seq", "props", "event_type").select("user_id", "step", c("seq.event_id").alias("event_id"), "from", "to")
 
 
 @query("""SELECT event_id, CASE WHEN o.event_type IS NULL THEN 'moved' WHEN o.event_type = e.event_type THEN 'same' ELSE 'conflict' END AS status
-FROM (SELECT event_id, event_id + 5 AS dest, event_type FROM events WHERE event_id % 2 = 0) e LEFT JOIN (SELECT event_id AS k, event_type FROM events WHERE event_id % 3 = 0) o ON dest = k""")
+FROM (SELECT event_id, event_id + 5 AS dest, event_type FROM events) e LEFT JOIN (SELECT 3 * event_id AS k, event_type FROM events) o ON dest = k""")
 def move_statuses(t):
-    moves = t("events").where("event_id % 2 = 0").select("event_id", (c("event_id") + 5).alias("dest"), "event_type")
-    there = t("events").where("event_id % 3 = 0").select(c("event_id").alias("k"), c("event_type").alias("v"))
+    moves = t("events").select("event_id", (c("event_id") + 5).alias("dest"), "event_type")
+    there = t("events").select((3 * c("event_id")).alias("k"), c("event_type").alias("v"))
     return plan.move_status(moves, there, "dest", "event_type", "k", "v").select("event_id", "status")
 
 
@@ -345,11 +345,11 @@ def variant_markers(t):
     return t("pages").select("page_id", F.array_join(S.variant_markers(title), ",").alias("markers"))
 
 
-@query("""WITH x AS (SELECT o_orderkey, o_totalprice * 100 AS n FROM orders)
-SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', CAST(n AS BIGINT)) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size,
-printf('%d:%02d', CAST(floor(CAST(o_orderkey AS BIGINT) / 60) AS BIGINT), o_orderkey % 60) AS length FROM x WHERE n < 1073741824""")
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice * (o_orderkey % 4) * (o_orderkey % 4) * 2500 AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', CAST(n AS BIGINT)) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size,
+printf('%d:%02d', CAST(floor(CAST(o_orderkey AS BIGINT) / 60) AS BIGINT), o_orderkey % 60) AS length FROM x""")
 def formatted_sizes(t):
-    o = t("orders").select("o_orderkey", (c("o_totalprice") * 100).alias("n")).where("n < 1073741824")
+    o = t("orders").select("o_orderkey", (c("o_totalprice") * (c("o_orderkey") % 4) * (c("o_orderkey") % 4) * 2500).alias("n"))
     return o.select("o_orderkey", S.human_size(c("n")).alias("size"), S.minutes_cut(c("o_orderkey")).alias("length"))
 
 
@@ -362,11 +362,11 @@ def probe_lines(t):
     return survive.rank_survivors(each, ["doc_id"], [F.desc("words"), c("pos")]).where("rank <= 6").select("doc_id", "pos", "words")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, min(c_custkey) AS id FROM customer WHERE c_acctbal > 9000 GROUP BY 1), b AS (SELECT s_nationkey AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, min(c_custkey) AS id FROM customer GROUP BY 1), b AS (SELECT s_nationkey + 10 AS k, min(s_suppkey) AS id FROM supplier GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.id, b.id) AS id, CAST(CASE WHEN a.id IS NULL THEN 1 ELSE 0 END AS INTEGER) AS priority FROM a FULL JOIN b ON a.k = b.k""")
 def prioritized_union(t):
-    a = t("customer").where("c_acctbal > 9000").select(c("c_nationkey").alias("k"), c("c_custkey").alias("id"))
-    b = t("supplier").select(c("s_nationkey").alias("k"), c("s_suppkey").alias("id"))
+    a = t("customer").select(c("c_nationkey").alias("k"), c("c_custkey").alias("id"))
+    b = t("supplier").select((c("s_nationkey") + 10).alias("k"), c("s_suppkey").alias("id"))
     return match.prioritized([a, b], "k", [c("id")])
 
 
