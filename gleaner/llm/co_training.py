@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("y"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(*_columns(docs, text_col, lang_col, source_col, chars_col), F.col(id_col).alias("id"))
-    made = rows.mapInArrow(_rows, f"id {kind}, a binary, b binary")
+    made = rows.mapInArrow(lambda b: W.settled(_rows(b)), f"id {kind}, a binary, b binary")
     # which labelled rows are set aside depends on the row alone
     aside = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 3
     table = made.join(known, "id", "left").select("y", aside.alias("aside"), "a", "b").checkpoint()
@@ -362,7 +362,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str, lang_col: str, source_
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     rows = docs.select(*_columns(docs, text_col, lang_col, source_col, chars_col), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)))
     kinds = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return rows.mapInArrow(lambda b: _score(b, sent), f"{kinds}, __score double")
+    return rows.mapInArrow(lambda b: W.settled(_score(b, sent)), f"{kinds}, __score double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:

@@ -210,7 +210,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     """A row for each row of df: its id as doc_id, the counts, base_failed and kept."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"))
-    return rows.mapInArrow(lambda b: _run(b, rules, False), f"doc_id {kind}, {_SCHEMA}")
+    return rows.mapInArrow(lambda b: W.settled(_run(b, rules, False)), f"doc_id {kind}, {_SCHEMA}")
 
 
 def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
@@ -220,7 +220,7 @@ def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_char
     """
     rest = [c for c in df.columns if c != text_col]
     rows = df.select(F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest)))
-    out = rows.mapInArrow(lambda b: _run(b, rules, True), rows.schema)
+    out = rows.mapInArrow(lambda b: W.settled(_run(b, rules, True)), rows.schema)
     back = {c: F.col(f"__{i}") for i, c in enumerate(rest)} | {text_col: F.col("__text")}
     if chars_col in rest:
         back[chars_col] = F.char_length("__text").cast(df.schema[chars_col].dataType)

@@ -318,4 +318,4 @@ def _apply(df: DataFrame, path: str, id_col: str, text_col: str, short: bool) ->
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"))
     rest = "ids_sha256 string, decoded_sha256 string" if short else "ids array<int>, decoded string"
-    return rows.mapInArrow(lambda b: _rows(b, path, short), f"doc_id {kind}, n_tokens long, {rest}")
+    return rows.mapInArrow(lambda b: W.settled(_rows(b, path, short)), f"doc_id {kind}, n_tokens long, {rest}")

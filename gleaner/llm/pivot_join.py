@@ -119,10 +119,10 @@ def sets(bounds: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     counts = w.counts
     for d in np.flatnonzero((counts > 0) & (counts < k)):
         a, b = w.first[d], w.first[d + 1]
-        x = np.uint64(0x1234567 + counts[d])
+        x = np.array([0x1234567 + counts[d]], np.uint64)  # an array: scalars warn where they wrap
         for y in w.hash[a:b]:
-            x = W.mix(np.array([x * np.uint64(7) + y], np.uint64))[0]
-        h[a], ok[a] = x, True
+            x = W.mix(x * np.uint64(7) + y)
+        h[a], ok[a] = x[0], True
     h, doc = h[ok], doc[ok]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -484,7 +484,7 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int)
         each = now.select("p", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.lit(-1).alias("k"), "node", "home")
         met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "home", "hashes")
         met = met.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("k"), "node")
-        cells = met.mapInArrow(lambda b: _cells(b, law, what), "p long, k int, node long, home boolean").checkpoint()
+        cells = met.mapInArrow(lambda b: W.settled(_cells(b, law, what)), "p long, k int, node long, home boolean").checkpoint()
         # a region stays whole where a cell has nearly all of it
         sizes = cells.groupBy("p", "k").agg(F.count(F.lit(1)).alias("cell"))
         dense = sizes.groupBy("p").agg(F.max("cell").alias("most")).join(big, "p").where("most > 0.7 * size").select("p")
@@ -502,11 +502,11 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     spark = df.sparkSession
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
     # the smallest and largest node of each signature; of those in one group of texts only the ends are shuffled
-    heads = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "heads"), "sig long, node long").repartition("sig")
+    heads = rows.select("text").mapInArrow(lambda b: W.settled(_nodes(b, law, "heads")), "sig long, node long").repartition("sig")
     least = heads.groupBy("sig").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("sig", "p").checkpoint()
     # a filter of fixed size leaves out most signatures that no other set has
     shared = spark.sparkContext.broadcast(wanted(least.select("sig")))
-    parts = rows.select("text").mapInArrow(lambda b: _nodes(b, law, "parts", shared), "sig long, node long")
+    parts = rows.select("text").mapInArrow(lambda b: W.settled(_nodes(b, law, "parts", shared)), "sig long, node long")
     edges = parts.join(least, "sig").where("node <> p").select("node", "p").distinct().checkpoint()
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
 
@@ -515,7 +515,7 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
         picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
         sent = spark.sparkContext.broadcast(wanted(picked.select("key")))
         # others that pass the filter go with the join on node
-        return rows.mapInArrow(lambda b: _nodes(b, law, what, sent), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        return rows.mapInArrow(lambda b: W.settled(_nodes(b, law, what, sent)), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     def dealt(of: DataFrame, what: str) -> DataFrame:
         """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b)."""
@@ -531,16 +531,16 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
         met = placed.join(held, "node").select("p", "i", "j", "block", "node", "hashes", "copies", "home")
         return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
 
-    near = components(dealt(members, "sketches").mapInArrow(lambda b: _near(b, law), "a long, b long"))
+    near = components(dealt(members, "sketches").mapInArrow(lambda b: W.settled(_near(b, law)), "a long, b long"))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
-    return dealt(regions, "sets").mapInArrow(lambda b: _regions(b, law, every), "a long, b long, n long").checkpoint()
+    return dealt(regions, "sets").mapInArrow(lambda b: W.settled(_regions(b, law, every)), "a long, b long, n long").checkpoint()
 
 
 def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:
     shared_dir(df.sparkSession)
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _nodes(b, law, "sizes"), f"doc_id {kind}, n long, node long").checkpoint()
+    return rows.mapInArrow(lambda b: W.settled(_nodes(b, law, "sizes")), f"doc_id {kind}, n long, node long").checkpoint()
 
 
 def _placed(sizes: DataFrame, met: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ needs no decoding, because every separator used here is one ASCII byte.
 A word hash is a polynomial over a table of random 64-bit values, one for each
 byte, finished by a mixing step; upper-case A-Z may share the values of a-z.
 Nulls are empty texts. A group of documents is scanned in blocks, so memory
-follows the group (4 MB by default) or the longest single text.
+follows the group (2 MB by default) or the longest single text.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 19
-GROUP = 1 << 22
+GROUP = 1 << 21
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _RAW = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,5 +177,11 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def strings(ids: np.ndarray | list, kind: pa.DataType = pa.string()) -> pa.Array:
-    return pa.array(ids, kind)
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end memory that is free goes back to the system, as the process lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
