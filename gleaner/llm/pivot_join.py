@@ -485,9 +485,9 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int)
         met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "home", "hashes")
         met = met.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("k"), "node")
         cells = met.mapInArrow(lambda b: W.settled(_cells(b, law, what)), "p long, k int, node long, home boolean").checkpoint()
-        # a region stays whole where a cell has nearly all of it
-        sizes = cells.groupBy("p", "k").agg(F.count(F.lit(1)).alias("cell"))
-        dense = sizes.groupBy("p").agg(F.max("cell").alias("most")).join(big, "p").where("most > 0.7 * size").select("p")
+        # a region stays whole where its cells have more than half as many pairs as it has
+        cell = cells.groupBy("p", "k").agg(F.count(F.lit(1)).cast("double").alias("cell"))
+        dense = cell.groupBy("p").agg(F.sum(F.col("cell") * F.col("cell")).alias("pairs")).join(big, "p").where("pairs > 0.5 * size * size").select("p").checkpoint()
         done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes", "home"))
         fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node", "home")
         now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes", "home").checkpoint()
