@@ -116,7 +116,11 @@ def test_severe_mismatch(spark):
         a, b = U.strip_marks(F.col("a")), U.strip_marks(F.col("b"))
         row = row.select("a", "b", a.alias("ua"), b.alias("ub"))
         ka, kb = S.ascii_key(F.col("ua")), S.ascii_key(F.col("ub"))
-        return row.select(classify.severe_mismatch(F.col("a"), F.col("b"), ka, kb, U.sequence_ratio(ka, kb), S.core_words(F.col("ua")), S.core_words(F.col("ub")), F.lit(False)).alias("x")).first().x
+        wa, wb = S.core_words(F.col("ua")), S.core_words(F.col("ub"))
+        return row.select(classify.severe_mismatch(F.col("a"), F.col("b"), ka, kb, U.sequence_ratio(ka, kb), wa, wb, U.closest_words(wa, wb) >= 0.75).alias("x")).first().x
 
     assert severe("Boiler Room London DJ Set", "Delilah (pull me out of this)") is True
+    # one pair of words alike is enough
+    assert severe("Some Long Unrelated Beginning Novacane", "Qqq Zzzzzzzz Wwwwww Novocane") is False
+    assert severe("Some Long Unrelated Beginning Alpha", "Qqq Zzzzzzzz Wwwwww Jumped") is True
     assert severe("Novacane", "Novocaine") is False and severe("夢", "Yume") is False and severe("x", "") is False
