@@ -66,3 +66,13 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def release(df: DataFrame) -> None:
+    """Frees what earlier jobs left behind on executors' disks.
+
+    Spark deletes the files of a shuffle when the driver's collector finds that no plan refers to it.
+    After a checkpoint those before it are free, but a driver with memory to spare collects
+    every half hour only, and many small rounds would fill disks until then.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
