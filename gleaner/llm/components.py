@@ -4,7 +4,8 @@ Each round replaces every edge by one to the smallest neighbour, first for the
 larger ends, then for the smaller ones; the table ends as stars around the
 smallest node of each component. A round is partial aggregates and equi-joins, so
 a hub's edges may be split (adaptive skew joins); nothing goes to the driver but
-two counters. Each round is checkpointed, so lost executors cost one round.
+two counters. Each round is checkpointed, so lost executors cost one round, and the
+shuffle files of the rounds before are given up.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import release
+
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # an edge makes one row at most; the small star that follows leaves out repeated ones
+    return both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -32,6 +36,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         now = _small(_large(now)).checkpoint()
+        release(now)
         # the same edges hash to the same sum
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
 from gleaner.llm.components import components
-from gleaner.session import shared_dir
+from gleaner.session import release, shared_dir
 
 BUCKETS = 512
 #: A block of sets holds about so many bytes at most, unless one set alone is larger.
@@ -248,7 +248,7 @@ class Region:
     LEAF, PIVOTS = 48, 8
 
     def __init__(self, blobs: list[bytes], law: Law, part: np.ndarray | None = None, every: bool = True):
-        """part: block of each set; if given, only pairs of different blocks are wanted. every: or a forest of the links."""
+        """part: block of each set; if given, only pairs of different blocks are wanted. every: count all links, or only find components."""
         self.law, self.t = law, 1 - law.share
         lengths = np.array([len(b) // 8 for b in blobs])
         flat = np.frombuffer(b"".join(blobs), np.uint64)
@@ -259,17 +259,16 @@ class Region:
         self.part = part
         self.every = every
         self.comp = np.arange(len(blobs))
-        self.tree: list[int] = []  # links as smaller * sets + larger
         self.found: list[np.ndarray] = []
         self.held = 0
 
     def root(self, x: int) -> int:
         return int(self.comp[x])
 
-    def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        """The two ends of the links that hold the components together."""
-        tree = np.array(self.tree, np.int64)
-        return tree // len(self.size), tree % len(self.size)
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first set of each component, beside every other one of it."""
+        others = np.flatnonzero(self.comp != np.arange(len(self.comp)))
+        return self.comp[others], others
 
     def degrees(self, copies: np.ndarray, home: np.ndarray) -> np.ndarray:
         """For each set the copies of the sets it links to; a link counts where its first end is at home."""
@@ -302,10 +301,8 @@ class Region:
         x = x[x != y]
         if len(x):
             code = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
-            labels, at = np.unique(self.comp[x], return_index=True)
-            new = labels != self.comp[y]
-            if new.any():
-                self.tree.extend(code[at[new]].tolist())
+            labels = np.unique(self.comp[x])
+            if (labels != self.comp[y]).any():
                 both_ends = np.append(labels, self.comp[y])
                 self.comp[np.isin(self.comp, both_ends)] = both_ends.min()
             if self.every:
@@ -367,13 +364,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
 
 
 def sketch_links(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> list[tuple[int, int]]:
-    """A forest of the pairs within t by their sketches (of different blocks, if part is given)."""
+    """Stars of the components of the pairs within t by their sketches (of different blocks, if part is given)."""
     size = sketches.sum(1, dtype=np.int64)
     order = np.argsort(size, kind="stable")
     h, size = sketches[order], size[order]
     block = None if part is None else part[order]
     comp = np.arange(len(size))
-    out = []
     for a in range(len(size) - 1):
         top = int(np.searchsorted(size, size[a] * law.den // law.num, "right"))
         rest = np.arange(a + 1, top)
@@ -386,8 +382,8 @@ def sketch_links(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> lis
         for x in rest[law.den * both >= law.num * (size[a] + size[rest] - both)].tolist():
             if comp[x] != comp[a]:
                 comp[comp == comp[x]] = comp[a]
-                out.append((int(order[a]), int(order[x])))
-    return out
+    others = np.flatnonzero(comp != np.arange(len(comp)))
+    return list(zip(order[comp[others]].tolist(), order[others].tolist(), strict=True))
 
 
 def _near(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
@@ -413,14 +409,14 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _regions(batches: Iterator[pa.RecordBatch], law: Law, every: bool) -> Iterator[pa.RecordBatch]:
-    """Each task's sets -> links (a, b, 0) that hold its components together, and (a, null, copies linked to) for each set."""
+    """Each task's sets -> stars (a, b, 0) of its components, and (a, null, copies linked to) for each set."""
     for key, members in _runs(batches):
         nodes, blobs, copies, home, block = zip(*members, strict=True)
         region = Region(list(blobs), law, None if key[1] == key[2] else np.array(block), every)
         # sorted by node: of two ends the first is the smaller node; the smallest is the first pivot
         node = np.array(nodes)
         region.join(np.arange(len(node)))
-        a, b = region.forest()
+        a, b = region.stars()
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "n"])
         if every:
             n = region.degrees(np.array(copies), np.array(home, bool))
@@ -491,13 +487,15 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int)
         done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes", "home"))
         fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node", "home")
         now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes", "home").checkpoint()
+        del count, big, chosen, pivots, each, met, cells, cell, dense, fresh
+        release(now)
     for rest in done:
         now = now.unionByName(rest)
     return now
 
 
 def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024, every: bool = True) -> DataFrame:
-    """Rows (a, b, 0): links between nodes that have the components of all; and, if ``every``, (a, null, n): n documents that
+    """Rows (a, b, 0): pairs of nodes with the same components as all links; and, if ``every``, (a, null, n): n documents that
     have another set and link to those of node a, in parts to be added. Links of a family are counted, never listed."""
     spark = df.sparkSession
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
@@ -509,6 +507,8 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     parts = rows.select("text").mapInArrow(lambda b: W.settled(_nodes(b, law, "parts", shared)), "sig long, node long")
     edges = parts.join(least, "sig").where("node <> p").select("node", "p").distinct().checkpoint()
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
+    del heads, least, parts
+    release(members)
 
     def blobs(of: DataFrame, what: str) -> DataFrame:
         """(node, hashes) from the texts of one document for each node."""
@@ -533,6 +533,7 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
 
     near = components(dealt(members, "sketches").mapInArrow(lambda b: W.settled(_near(b, law)), "a long, b long"))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
+    release(regions)
     return dealt(regions, "sets").mapInArrow(lambda b: W.settled(_regions(b, law, every)), "a long, b long, n long").checkpoint()
 
 
@@ -573,7 +574,7 @@ def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col:
     Rows with a null id are kept. Where rows share id and text, one stays; columns are those of df.
     """
     sizes = _sizes(df, law, id_col, text_col)
-    # a forest has the same components
+    # only components are needed
     met = links(df, sizes, law, id_col, text_col, every=False)
     found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg((F.count(F.lit(1)) > 1).alias("__many"))
     lone = df.where(F.col(id_col).isNull())
