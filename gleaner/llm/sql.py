@@ -86,3 +86,23 @@ f AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM e
 """
+
+_NEAREST = """a{n} AS (SELECT r, part, any_value(p.x) AS x, min(CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 256 + e) AS m FROM p JOIN c{n} c USING (part) GROUP BY r, part),
+"""
+_MEANS = """s{n} AS (SELECT part, e, list(mean ORDER BY pos) AS x FROM (SELECT part, m % 256 AS e, pos, floor(sum(y) / count(*)) AS mean FROM (SELECT part, m, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM a{n}) GROUP BY ALL) GROUP BY part, e),
+c{next} AS (SELECT part, c.e, coalesce(s.x, c.x) AS x FROM c{n} c LEFT JOIN s{n} s USING (part, e)),
+"""
+
+OP13 = (
+    """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS (SELECT part, e, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x FROM (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e, q FROM v), (SELECT unnest(range(4)) AS part) WHERE e < 256),
+"""
+    + "".join(_NEAREST.format(n=n) + _MEANS.format(n=n, next=n + 1) for n in range(4))
+    + _NEAREST.format(n=4)
+    + """b AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM c4)),
+f AS (SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (r), b
+"""
+)
