@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import brown_lm, chat_tokens, co_training, line_rules, merge_tree, part_codes, pivot_join, record_files, shard_tree, sql, weak_toxicity, wu_manber
+from gleaner.llm import brown_lm, chat_tokens, co_training, lexical_rank, line_rules, merge_tree, part_codes, pivot_join, record_files, shard_tree, sql, weak_toxicity, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -63,6 +63,10 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op11_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_brown_lm": op8_brown_lm,
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
+    "op11_lexical_rank": op11_lexical_rank,
     "op13_part_codes": op13_part_codes,
 }
 
@@ -87,5 +92,6 @@ SQL: dict[str, str] = {
     "op2_shard_tree": sql.OP2,
     "op5_wu_manber": sql.OP5,
     "op9_line_rules": sql.OP9,
+    "op11_lexical_rank": sql.OP11,
     "op13_part_codes": sql.OP13,
 }
