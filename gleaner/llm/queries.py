@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import brown_lm, chat_tokens, co_training, lexical_rank, line_rules, merge_tree, part_codes, pivot_join, record_files, shard_tree, sql, weak_toxicity, wu_manber
+from gleaner.llm import brown_lm, chat_tokens, co_training, lexical_rank, line_rules, merge_tree, minhash_bayes, part_codes, pivot_join, record_files, shard_tree, sql, weak_toxicity, wu_manber
 from gleaner.session import shared_dir, table
 
 
@@ -67,6 +67,10 @@ def op11_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_rank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_bayes.near(table(spark, sf_dir, "documents"))
+
+
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_line_rules": op9_line_rules,
     "op10_record_files": op10_record_files,
     "op11_lexical_rank": op11_lexical_rank,
+    "op12_minhash_bayes": op12_minhash_bayes,
     "op13_part_codes": op13_part_codes,
 }
 
