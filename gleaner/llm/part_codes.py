@@ -4,14 +4,16 @@ Each component x counts as ``floor(1024 * x)``, so every distance and every mean
 and no result depends on the order of rows. A vector is cut into consecutive parts; each
 part position has a codebook of up to 256 entries, refined by rounds of k-means.
 
-The nearest entry of a part is found coarse to fine. A part is cut into blocks (1, then 2,
-then 4, ...); with the block means and the norm of what the means leave over,
+The nearest entry of a part is found coarse to fine. A part is cut into blocks (1, then 4,
+then 16, ...); with the block means and the norm of what the means leave over,
 
     d(x, y) >= sum over blocks of width * (mean x - mean y)^2  +  (|rest x| - |rest y|)^2
 
-by Cauchy-Schwarz. An entry whose bound is above a distance that some other entry is known
-to have can't be nearest and is left out; finer blocks are only made for the entries that
-are still in. Bounds are doubles and are lowered by more than their rounding error. What
+by Cauchy-Schwarz. Its right side is itself a squared distance, between short summaries
+(root of width * mean of each block, norm of the rest) that have the norms of x and y, so
+all bounds of a block of rows are one matrix product. An entry whose bound is above a distance that some other entry is known
+to have can't be nearest and is left out; only rows that still have several entries go on to finer
+blocks. Bounds are doubles and are lowered by more than their rounding error. What
 survives gets its exact 64-bit integer distance, and the lowest index wins ties.
 
 On Spark: a round is one pass over the vectors. A task keeps sums and counts of its own
@@ -76,23 +78,22 @@ def scaled(column: pa.Array, length: int) -> np.ndarray:
 
 
 class Levels:
-    """Block sums and leftover norms of the rows of an integer array, for 1, 2, 4, ... blocks."""
+    """Summaries of the rows of an integer array, for 1, 4, 16, ... blocks, at last of one component; each has its row's norm."""
 
     def __init__(self, x: np.ndarray):
         width = x.shape[1]
-        square = (x * x).sum(1)
-        self.norm = square.astype(np.float64)
-        self.means: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []
+        self.norm = (x * x).sum(1).astype(np.float64)
+        self.summary: list[np.ndarray] = []
         blocks = 1
-        while blocks <= max(1, width // 4):
+        while True:
             cuts = [i * width // blocks for i in range(blocks + 1)]
             sums = np.stack([x[:, a:b].sum(1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 1)
-            root = np.sqrt(np.maximum(np.diff(cuts), 1))
-            mean = sums / root  # the mean times the root of the width: its square is what the block's mean adds
-            self.means.append(mean)
-            self.rest.append(np.sqrt(np.maximum(self.norm - (mean * mean).sum(1), 0)))
-            blocks *= 2
+            mean = sums / np.sqrt(np.maximum(np.diff(cuts), 1))  # the mean times the root of the width: its square is what the block's mean adds
+            rest = np.sqrt(np.maximum(self.norm - (mean * mean).sum(1), 0))
+            self.summary.append(np.column_stack((mean, rest)))
+            if blocks >= width:
+                break
+            blocks = min(4 * blocks, width)
 
 
 def nearest(x: np.ndarray, book: np.ndarray, levels: Levels | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -117,31 +118,24 @@ def _distance(x: np.ndarray, book: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 def _nearest(x: np.ndarray, book: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, int]:
     own = Levels(x)
     rows = np.arange(len(x))
-    slack = 1e-9 * (own.norm[:, None] + levels.norm[None, :]) + 1e-6  # above the rounding of the sums below
-    a, b = own.means[0], levels.means[0]
-    bound = (a - b.T) ** 2 + (own.rest[0][:, None] - levels.rest[0][None, :]) ** 2 - slack
-    guess = bound.argmin(1)
-    best = _distance(x, book, rows, guess)
-    exact = len(x)
-    i, j = np.nonzero(bound <= best[:, None])
-    for level in range(1, len(levels.means)):
-        low = np.empty(len(i))
-        for lo in range(0, len(i), PAIRS):
-            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            gap = own.means[level][p] - levels.means[level][q]
-            low[lo : lo + PAIRS] = (gap * gap).sum(1) + (own.rest[level][p] - levels.rest[level][q]) ** 2 - slack[p, q]
-        # the entry of the least bound is the next guess; every row still has an entry, its former guess
-        first = np.searchsorted(i, rows)
-        order = np.lexsort((low, i))
-        guess = j[order[first]]
-        best = np.minimum(best, _distance(x, book, rows, guess))
-        exact += len(x)
-        stay = low <= best[i]
-        i, j = i[stay], j[stay]
+    best = np.full(len(x), np.iinfo(np.int64).max)
+    alive = np.ones((len(x), len(book)), bool)
+    open_, exact = rows, 0  # rows with several entries
+    for mine, its in zip(own.summary, levels.summary, strict=True):
+        norms = own.norm[open_, None] + levels.norm[None, :]
+        # twice the product and both norms are rounded to some 1e-15 of the norms: 1e-9 of them is taken off
+        bound = norms * (1 - 1e-9) - 1e-6 - 2 * (mine[open_] @ its.T)
+        bound[~alive[open_]] = np.inf
+        best[open_] = np.minimum(best[open_], _distance(x, book, open_, bound.argmin(1)))
+        exact += len(open_)
+        alive[open_] = bound <= best[open_, None]
+        open_ = open_[alive[open_].sum(1) > 1]
+        if not len(open_):
+            break
+    i, j = np.nonzero(alive)
     d = _distance(x, book, i, j)
     exact += len(d)
-    first = np.searchsorted(i, rows)
-    least = np.minimum.reduceat(d, first) if len(d) else d
+    least = np.minimum.reduceat(d, np.searchsorted(i, rows)) if len(d) else d
     tied = np.flatnonzero(d == least[i])  # in order of row, then of index
     return j[tied[np.searchsorted(i[tied], rows)]], least, exact
 
