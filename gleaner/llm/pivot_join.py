@@ -569,17 +569,19 @@ def join(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str
 
 
 def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is their component's; of equal ids and texts all stay equal rows' one.
+    """One row of each group of linked texts, that of the smallest id (null ids are the largest); columns are those of df.
 
-    Rows with a null id are kept. Where rows share id and text, one stays; columns are those of df.
+    Rows are told apart by id and text, so ids may repeat with different texts: of a group's rows with its smallest id
+    one stays, and rows with that id in other groups are judged there. Of rows equal in id and text one stays. Rows whose text has no words
+    all stay.
     """
-    sizes = _sizes(df, law, id_col, text_col)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"))
+    marked = df.withColumn("__id", row)
+    sizes = _sizes(marked, law, "__id", text_col)
     # only components are needed
-    met = links(df, sizes, law, id_col, text_col, every=False)
-    found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg((F.count(F.lit(1)) > 1).alias("__many"))
-    lone = df.where(F.col(id_col).isNull())
-    # only rows whose id another row has are compared with others; the texts of the rest are not shuffled for it
-    kept = df.join(found, F.col(id_col) == F.col("__keep"))
-    mark = F.xxhash64(id_col, text_col).alias("__row")
-    again = kept.where("__many").select(*df.columns, mark).dropDuplicates(["__row"])
-    return kept.where("not __many").select(*df.columns).unionByName(again.select(*df.columns)).unionByName(lone)
+    met = links(marked, sizes, law, "__id", text_col, every=False)
+    found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id.row").alias("__keep")).agg((F.count_if(F.col("n") > 0) > 1).alias("__many"))
+    kept = df.withColumn("__row", F.xxhash64(id_col, text_col)).join(found, F.col("__row") == F.col("__keep"))
+    # only rows that have an equal one are compared; the texts of the rest are not shuffled for it
+    again = kept.where("__many").dropDuplicates(["__row"])
+    return kept.where("not __many").select(*df.columns).unionByName(again.select(*df.columns))

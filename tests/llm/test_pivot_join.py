@@ -114,6 +114,18 @@ def test_keep_one_and_empty(spark):
     assert pj.join(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    t, u = (" ".join(f"{x}{i}" for i in range(60)) for x in "tu")
+    rows = [(3, t), (5, u), (5, t + " tail"), (7, u + " x"), (None, t + " end"), (None, "alone " * 9), (8, t + " tail"), (9, u + " y"), (9, u + " y"), (None, None), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, x, "src") for i, x in rows], "doc_id long, text string, component_id string").repartition(5)
+    kept = sorted(((r.doc_id, r.text) for r in pj.keep_one(df, pj.Law(5, 80, 100)).collect()), key=str)
+    assert kept == sorted([(3, t), (5, u), (None, "alone " * 9), (None, None), (4, ""), (4, "")], key=str)
+    # two texts of a group with its smallest id: one stays; equal rows: one stays
+    same = [(2, t), (2, t + " a"), (2, u), (2, u)]
+    kept = pj.keep_one(spark.createDataFrame(same, "doc_id long, text string"), pj.Law(5, 80, 100)).collect()
+    assert sorted(r.text[0] for r in kept) == ["t", "u"]
+
+
 @pytest.mark.parametrize(("k", "num", "block"), [(3, 80, 1024), (3, 80, 7)])
 def test_links_per_document_equal_brute_force(spark, k, num, block):
     rows = corpus(240, 11)
