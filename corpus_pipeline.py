@@ -47,10 +47,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked texts: that of the smallest id.
+    """One row of each group of linked texts: that of the smallest id, where null ids are the largest.
 
-    Texts without words (null, empty) link to nothing and stay, and so do rows with a null id; of rows that
-    share id and text one stays; of rows that share the group's smallest id with different texts, all.
+    Texts without words (null, empty) link to nothing and stay. Ids may repeat: rows are told apart by id and text,
+    and of a group's rows with the smallest id, equal or not, one stays.
     """
     return pivot_join.keep_one(docs.select(*COLUMNS), pivot_join.Law(k=5, num=80, den=100))
 
