@@ -25,7 +25,7 @@ JUNK_COLLECTION = (
     r"(?iu)(?:https?://|www\.|\.(?:com|net|org|cn|ru|cc|to|xyz|me|io|top|site|tv|link|app)\b)"
     r"|(?:[【\[].*?(?:下载|无损|资源|xmwsyy|repack|flac|mp3).*?[】\]])"
     r"|(?:下载|无损音乐|視聴|views?\b|vistas?\b|visualizaciones\b|subscribe|bilibili|youtube|sound-?cloud|free download|album rip)"
-    r"|(?:\b(?:billboard|hottest \d+|top \d+|chart|charts|shazam|various artists|compilation|greatest hits|now that['’]s what i call|playlist|dj mix|best of|tik\s?tok)\b)"
+    r"|(?:\b(?:billboard|hottest \d+|top \d+|chart|charts|shazam|various artists|compilation|greatest hits|now that's what i call|playlist|dj mix|best of|tik\s?tok)\b)"
     r"|(?:精选|精選|大全|神曲|ヒット|ランキング)"
 )
 

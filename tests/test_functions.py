@@ -1,5 +1,7 @@
 """Rules on small inputs with literal expectations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,29 @@ def test_artists(spark):
     assert value(spark, S.first_artist(X), x="A ft. B, C") == "A"
 
 
+def test_romaji():
+    for romaji, kana in [
+        ("Yume naraba dore hodo yokatta deshou", "ゆめならばどれほどよかったでしょう"),
+        ("Imada ni anata no koto wo yume ni miru", "いまだにあなたのことをゆめにみる"),
+        ("watashi wa gakusei desu", "わたしはがくせいです"),
+        ("Tōkyō e ikou", "とうきょうへいこう"),
+        ("ŌSAKA kūki onēsan obāsan oniisan oishī", "おうさかくうきおねえさんおばあさんおにいさんおいしい"),
+        ("Kekkon shite", "けっこんして"),
+        ("kannai kin'iro ra-men", "かんないきんいろらーめん"),
+        ("I love you so much", "I love you so much"),
+        ("Lemon no nioi", "Lemonのにおい"),
+        ("", ""),
+    ]:
+        assert U.py_romaji_to_kana(romaji) == kana
+    # words of generated syllables, none of which runs into the next
+    rng = random.Random(4)
+    syllables = [k for k in U.KANA if k != "n" and k[0] not in "aiueoy"]
+    for _ in range(300):
+        parts = rng.choices(syllables, k=rng.randint(1, 6))
+        if all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False)):
+            assert U.py_kana_word("".join(parts)) == "".join(U.KANA[p] for p in parts)
+
+
 def test_formats(spark):
     assert value(spark, S.minutes_rounded(X), x=62.5) == "1:02" and value(spark, S.minutes_cut(X), x=62.9) == "1:02" and value(spark, S.minutes_cut(X.cast("double")), x=None) == "--:--"
     assert value(spark, S.human_size(X), x=1536) == "1.5 KB" and value(spark, S.human_size(X), x=10) == "10 B"
