@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.scan import Scan
+
 
 def gap_clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, ties: list[str], cluster: str = "cluster", size: str = "cluster_size", least: int = 2) -> DataFrame:
     """Rows whose value is within ``tolerance`` of the row before it (in key, by value) form a cluster.
 
     A cluster may span more than the tolerance. Clusters of fewer than ``least`` rows go.
-    Rows with a null key or value are dropped. One exchange on the keys serves all three
-    windows, since the cluster number only extends the key.
+    Rows with a null key or value are dropped. A key with any number of rows is cut into ranges (see ``scan``).
     """
-    df = df.dropna(subset=[*keys, value])
-    w = Window.partitionBy(*keys).orderBy(value, *ties)
-    new = F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0))
-    df = df.withColumn("__new", new).withColumn(cluster, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
-    df = df.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys, cluster)))
-    return df.where(F.col(size) >= least)
+    s = Scan(df.dropna(subset=[*keys, value]), keys, [value, *ties]).add(__before=("lag", F.col(value)))
+    s = s.compute(__new=F.coalesce((F.col(value) - F.col("__before") > tolerance).cast("long"), F.lit(0)))
+    rows = s.add(**{cluster: ("sum", F.col("__new"))}).df.drop("__before", "__new").checkpoint()
+    sizes = rows.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) >= least)
+    return rows.join(sizes, [*keys, cluster]).select(*df.columns, cluster, size)
 
 
 def duplicate_keys(df: DataFrame, key: str, members: str, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
+from gleaner.operators.scan import Scan
 
 #: Patterns of timed text and of credit lines. Fixed values.
 STAMP = r"\[(\d+):(\d+(?:\.\d+)?)\]"
@@ -80,10 +81,9 @@ def local_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
 def runs(df: DataFrame, key: list[str], order: list[str], value: str, run: str = "run") -> DataFrame:
     """Numbers runs of equal consecutive values; nulls never join a run."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    same = F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False))
-    df = df.withColumn("__new", (~same).cast("int"))
-    return df.withColumn(run, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    s = Scan(df, key, order).add(__before=("lag", F.col(value)))
+    s = s.compute(__new=F.coalesce((F.col(value) != F.col("__before")).cast("long"), F.lit(1)))
+    return s.add(**{run: ("sum", F.col("__new"))}).df.drop("__before", "__new")
 
 
 def fold_layers(df: DataFrame, key: list[str], order: list[str], time: str = "time", text: str = "text") -> DataFrame:

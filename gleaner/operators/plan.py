@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from gleaner.operators.scan import Scan, numbered
 
 
 def collision_numbers(df: DataFrame, folded: Column, order: list[Column], name: Column, ending: Column, first: int = 2) -> DataFrame:
     """final: the name for the first claim of a folded name, "name (n)" for the next, n from ``first``."""
-    df = df.withColumn("__k", folded)
-    df = df.withColumn("claim", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
-    numbered = F.concat(name, F.lit(" ("), (F.col("claim") - 2 + first).cast("string"), F.lit(")"), ending)
-    return df.withColumn("final", F.when(F.col("claim") == 1, F.concat(name, ending)).otherwise(numbered)).drop("__k")
+    df = numbered(df.withColumn("__k", folded), ["__k"], order, "claim")
+    text = F.concat(name, F.lit(" ("), (F.col("claim") - 2 + first).cast("string"), F.lit(")"), ending)
+    return df.withColumn("final", F.when(F.col("claim") == 1, F.concat(name, ending)).otherwise(text)).drop("__k")
 
 
-def free_names(df: DataFrame, key: str, stem: str, taken: DataFrame, taken_name: str, order: list[Column], rounds: int = 20) -> DataFrame:
-    """As ``collision_numbers`` but past names that exist: the smallest free number of each claim.
+def free_names(df: DataFrame, stem: str, taken: DataFrame, taken_name: str, order: list[Column]) -> DataFrame:
+    """As ``collision_numbers`` but past names that exist: the c-th claim of a stem takes its c-th free number.
 
-    The k-th claim of a stem takes the k-th number that no existing name has. Numbers
-    in use are few for each stem, so free ones come from one array, not from rounds of joins.
+    ``number`` is 1 for the plain stem. The i-th number in use, h, has h - i free ones below it, so the c-th free
+    number is c plus how many h have h - i < c: a prefix count over claims and numbers in use, sorted together.
     """
-    used = taken.select(F.lower(taken_name).alias("__t"))
     base = df.select(F.lower(stem).alias("__s")).distinct()
-    number = F.regexp_extract("__t", r" \((\d{1,9})\)$", 1)
-    parsed = used.select("__t", F.when(number != "", number.cast("int")).alias("n"), F.regexp_replace("__t", r" \(\d{1,9}\)$", "").alias("r"))
-    plain = parsed.select(F.col("__t").alias("__s"), F.lit(1).alias("n"))
-    numbers = plain.unionByName(parsed.where("n >= 2").select(F.col("r").alias("__s"), "n")).join(base, "__s", "left_semi")
-    held = numbers.groupBy("__s").agg(F.sort_array(F.collect_set("n")).alias("held"))
-    w = Window.partitionBy(F.lower(stem)).orderBy(*order)
-    out = df.withColumn("__c", F.row_number().over(w)).withColumn("__s", F.lower(stem)).join(held, "__s", "left")
-    # the c-th number not held is c plus the held numbers up to it
-    n = F.aggregate(F.coalesce("held", F.array().cast("array<int>")), F.col("__c"), lambda acc, h: F.when(h <= acc, acc + 1).otherwise(acc))
-    return out.withColumn("number", n).withColumn("final", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(" ("), n.cast("string"), F.lit(")")))).drop("__c", "__s", "held")
+    ending = F.regexp_extract("__t", r" \((\d{1,9})\)$", 1)
+    parsed = taken.select(F.lower(taken_name).alias("__t")).select("__t", ending.alias("__n"), F.regexp_replace("__t", r" \(\d{1,9}\)$", "").alias("__r"))
+    plain = parsed.select(F.col("__t").alias("__s"), F.lit(1).cast("long").alias("__n"))
+    counted = parsed.where("__n <> ''").select(F.col("__r").alias("__s"), F.col("__n").cast("long").alias("__n")).where("__n >= 2")
+    used = numbered(plain.unionByName(counted).distinct().join(base, "__s", "left_semi"), ["__s"], ["__n"], "__i")
+    claims = numbered(df.withColumn("__s", F.lower(stem)), ["__s"], order, "__c")
+    held = used.select("__s", (F.col("__n") - F.col("__i")).alias("__at"), F.lit(0).alias("__kind"), F.lit(1).cast("long").alias("__one"))
+    asked = claims.select("__s", (F.col("__c") - 1).alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__one"), F.struct(*df.columns).alias("__row"))
+    both = Scan(held.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)).unionByName(asked), ["__s"], ["__at", "__kind"])
+    found = both.add(__below=("sum", F.col("__one"))).df.where("__kind = 1").select("__row.*", (F.col("__at") + 1 + F.col("__below")).alias("number"))
+    n = F.col("number")
+    return found.withColumn("final", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(" ("), n.cast("string"), F.lit(")"))))
 
 
 def canonical_spelling(df: DataFrame, key: list[str], spelling: str, seq: str) -> DataFrame:
@@ -63,28 +61,3 @@ def undo_by(ops: DataFrame, part: list[str], seq: str, source: str, dest: str) -
     """As ``undo``, each part of the log on its own (parts run side by side)."""
     w = Window.partitionBy(*part).orderBy(F.desc(seq))
     return ops.select(*part, F.row_number().over(w).alias("step"), F.col(seq), F.col(dest).alias("from"), F.col(source).alias("to"))
-
-
-def size_batches(df: DataFrame, part: str, order: list[str], size: str, most: int) -> DataFrame:
-    """batch: runs of rows of at most ``most`` units; a larger row is a batch of its own.
-
-    The sum starts anew with each batch, so sorted rows of a part are read as a stream
-    that carries one number from row to row.
-    """
-    names = [*df.columns, "batch"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, batch = None, 0, -1
-        for f in frames:
-            out = []
-            for p, s in zip(f[part].tolist(), f[size].tolist(), strict=True):
-                if p != now:
-                    now, used, batch = p, 0, -1
-                if batch < 0 or used + s > most:
-                    used, batch = 0, batch + 1
-                used += s
-                out.append(batch)
-            yield f.assign(batch=out)[names]
-
-    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-    return df.repartition(part).sortWithinPartitions(part, *order).mapInPandas(run, schema)

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
 from gleaner.functions import unicode as U
-from gleaner.operators import classify, cluster, layers, ledger, match, plan, stats, survive, tree
-from gleaner.session import table
+from gleaner.operators import classify, cluster, layers, ledger, match, plan, scan, stats, survive, tree
+from gleaner.plans.base import QUERIES, SQL, c, query
 from gleaner.streaming import sessions
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (t: table by name) -> DataFrame under its own name."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def c(name: str) -> Column:
-    return F.col(name)
-
-
 _CLUSTERS = """
 WITH g AS (SELECT event_id, user_id, event_type, value,
     CASE WHEN value - lag(value) OVER w > 0.5 THEN 1 ELSE 0 END AS fresh FROM events
@@ -301,7 +281,7 @@ c AS (SELECT p_partkey, p_name, lower(p_name) AS s, row_number() OVER (PARTITION
 SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS final FROM c JOIN f USING (s, k)""")
 def free_name_numbers(t):
     taken = t("part").select(F.concat("p_name", F.lit(" ("), F.greatest(c("p_size").cast("int"), F.lit(2)).cast("string"), F.lit(")")).alias("name"))
-    return plan.free_names(t("part").select("p_partkey", "p_name"), "p_partkey", "p_name", taken, "name", [c("p_partkey")]).select("p_partkey", "final")
+    return plan.free_names(t("part").select("p_partkey", "p_name"), "p_name", taken, "name", [c("p_partkey")]).select("p_partkey", "final")
 
 
 @query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS step, event_id, event_type AS "from", props AS "to" FROM events""")
@@ -432,9 +412,29 @@ def parsed_names(t):
     return t("part").select("p_partkey", S.parse_filename(F.concat(c("p_size").cast("string"), F.lit(" - "), c("p_brand"), F.lit(" - "), c("p_name"))).alias("p")).select("p_partkey", "p.*")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS i FROM lineitem),
+b AS (SELECT *, q AS used, CAST(0 AS BIGINT) AS batch FROM o WHERE i = 1
+UNION ALL SELECT o.*, CASE WHEN used + o.q > 400 THEN o.q ELSE used + o.q END, batch + CASE WHEN used + o.q > 400 THEN 1 ELSE 0 END FROM b JOIN o ON o.l_suppkey = b.l_suppkey AND o.i = b.i + 1)
+SELECT l_suppkey, l_orderkey, l_linenumber, q, batch FROM b""")
 def size_batches(t):
-    return plan.size_batches(t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", c("l_quantity").cast("long").alias("q")), "l_suppkey", ["l_orderkey", "l_linenumber"], "q", 400)
+    rows = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", c("l_quantity").cast("long").alias("q"))
+    return scan.size_batches(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "q"], "q", 400)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER w AS n, l_returnflag = 'R' AS bad FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity)),
+s AS (SELECT *, n - coalesce(max(CASE WHEN NOT bad THEN n END) OVER (PARTITION BY l_suppkey ORDER BY n), 0) AS streak FROM o),
+r AS (SELECT *, coalesce(max(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS tried FROM s)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, streak, tried FROM r""")
+def removal_stops(t):
+    """Copies of each source are removed in turn; three failures in a row end the work on it."""
+    rows = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return scan.stop_after(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_quantity"], c("l_returnflag") == "R").drop("l_quantity")
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate, o_orderkey LIMIT 2500""")
+def pending_limit(t):
+    """The first pending rows, as many as a run may take."""
+    return scan.first_n(t("orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderdate", "o_orderkey"], 2500).drop("o_orderdate")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import cluster, layers, ledger, match, plan, survive, tree
+from gleaner.operators import cluster, layers, ledger, match, plan, scan, survive, tree
 from gleaner.streaming import sessions
 
 c = F.col
@@ -97,10 +97,10 @@ def test_ledger(spark):
 
 def test_batches_and_free_names(spark):
     df = spark.createDataFrame([("p", i, s) for i, s in enumerate([5, 5, 11, 1, 9, 1])], "p string, i int, s long")
-    assert [r.batch for r in plan.size_batches(df, "p", ["i"], "s", 10).orderBy("i").collect()] == [0, 0, 1, 2, 2, 3]
+    assert [r.batch for r in scan.size_batches(df, ["p"], ["i"], "s", 10).orderBy("i").collect()] == [0, 0, 1, 2, 2, 3]
     want = spark.createDataFrame([(1, "x"), (2, "x"), (3, "X")], "id int, stem string")
     taken = spark.createDataFrame([("x",), ("x (3)",)], "n string")
-    assert [r.final for r in plan.free_names(want, "id", "stem", taken, "n", [c("id")]).orderBy("id").collect()] == ["x (2)", "x (4)", "X (5)"]
+    assert [r.final for r in plan.free_names(want, "stem", taken, "n", [c("id")]).orderBy("id").collect()] == ["x (2)", "x (4)", "X (5)"]
 
 
 def test_stream_sessions_equal_batch(spark, tmp_path):
