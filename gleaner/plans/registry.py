@@ -437,6 +437,10 @@ def pending_limit(t):
     return scan.first_n(t("orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderdate", "o_orderkey"], 2500).drop("o_orderdate")
 
 
+# the other modules of queries register theirs as well
+from gleaner.plans import changes  # noqa: E402, F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which records are near-duplicates, which copy stays, and what the others free."""
     return QUERIES["dup_cluster_survivors"](spark, sf_dir)

@@ -6,6 +6,7 @@ import os
 import shutil
 import site
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a table of its own in the shared folder and read again.
+
+    For loops of many rounds. A checkpoint hands on the sort orders and constraints that the optimizer has inferred;
+    they double from round to round until planning takes longer than the work. A table that is read has none.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def release(df: DataFrame) -> None:
     """Frees what earlier jobs left behind on executors' disks.
 
