@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
+from gleaner.functions import similar
 
 #: Words of a live recording, and of a remix, in a name. Fixed values.
 LIVE = ("boiler room", "live @", "live at", "dj set", "essential mix", "usb00", "b2b", "mixmag", "cercle")
@@ -87,20 +88,25 @@ def match_bucket(status: Column, confidence: Column, least: float = 0.8) -> Colu
     return first_of([(status == "NO_MATCH", "none"), (status.startswith("REJECT"), "rejected"), (confidence >= least, "high")], "unsure")
 
 
-def severe_mismatch(stem: Column, title: Column, stem_key: Column, title_key: Column, ratio: Column, stem_words: Column, title_words: Column, close_pair: Column) -> Column:
-    """Whether a title can't be that of the name. Cheap rules stand first; ``ratio`` and
-    ``close_pair`` (some pair of words alike) come from UDFs and decide what is left."""
+def severe_mismatch(df: DataFrame, stem: str, title: str, name: str = "severe") -> DataFrame:
+    """name: whether the title can't be that of the name (both without accents). Cheap rules stand first, then bounds of
+    similarity; only names and words that these leave open are compared character by character."""
     low, tag = F.lower(stem), F.lower(title)
-    return (
-        F.when(F.coalesce(title == "", F.lit(True)) | F.coalesce(stem == "", F.lit(True)), False)
-        .when(S.is_cjk(stem) | S.is_cjk(title), False)
+    keyed = df.withColumns({"__a": S.ascii_key(F.col(stem)), "__b": S.ascii_key(F.col(title)), "__x": S.core_words(F.col(stem)), "__y": S.core_words(F.col(title))})
+    decided = (
+        F.when(F.coalesce(F.col(title) == "", F.lit(True)) | F.coalesce(F.col(stem) == "", F.lit(True)), False)
+        .when(S.is_cjk(F.col(stem)) | S.is_cjk(F.col(title)), False)
         .when(holds_any(low, LIVE) & ~holds_any(tag, LIVE), True)
-        .when((stem_key == "") | (title_key == ""), False)
-        .when(F.contains(stem_key, title_key) | F.contains(title_key, stem_key), False)
-        .when(ratio > 0.60, False)
-        .when((F.size(stem_words) == 0) | (F.size(title_words) == 0), False)
-        .otherwise(~close_pair)
+        .when((F.col("__a") == "") | (F.col("__b") == ""), False)
+        .when(F.contains("__a", "__b") | F.contains("__b", "__a"), False)
     )
+    # steps of their own: an expression that held them all would repeat the keys in each place
+    ruled = keyed.withColumn("__v", decided)
+    bounded = similar.with_ratio_above(ruled.withColumns({"__a": F.when(F.col("__v").isNull(), F.col("__a")), "__b": F.when(F.col("__v").isNull(), F.col("__b"))}), "__a", "__b", 0.60, "__alike")
+    none = (F.size("__x") == 0) | (F.size("__y") == 0)
+    left = bounded.withColumn("__open", F.col("__v").isNull() & ~F.coalesce("__alike", F.lit(False)) & ~none)
+    told = similar.with_words_alike(left, "__x", "__y", 0.75, "__open", "__near")
+    return told.withColumn(name, F.coalesce("__v", F.col("__open") & ~F.col("__near"))).select(*df.columns, name)
 
 
 def ticked(todo: Column, default: Column, ask_first: Column) -> Column:

@@ -391,10 +391,7 @@ def duplicate_folder_rank(t):
 @query()
 def seq_ratio_mismatch(t):
     p = t("part").select("p_partkey", U.strip_marks("p_name").alias("a"), U.strip_marks("p_type").alias("b"))
-    key_a, key_b = S.ascii_key(c("a")), S.ascii_key(c("b"))
-    words_a, words_b = S.core_words(c("a")), S.core_words(c("b"))
-    severe = classify.severe_mismatch(c("a"), c("b"), key_a, key_b, U.sequence_ratio(key_a, key_b), words_a, words_b, U.closest_words(words_a, words_b) >= 0.75)
-    return p.select("p_partkey", severe.alias("severe"))
+    return classify.severe_mismatch(p, "a", "b").select("p_partkey", "severe")
 
 
 @query()
