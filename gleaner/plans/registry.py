@@ -435,7 +435,7 @@ def pending_limit(t):
 
 
 # the other modules of queries register theirs as well
-from gleaner.plans import changes, services  # noqa: E402, F401
+from gleaner.plans import changes, lookups, services  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

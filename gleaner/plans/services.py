@@ -1,4 +1,4 @@
-"""Queries about services that may fail, and about catalogs and folders they are matched with."""
+"""Queries about services that may fail."""
 
 from __future__ import annotations
 
