@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import unicode as U
+from gleaner.sources import snapshots
 
 #: Keys of one meaning in the container dialects, in order of preference. Fixed values.
 TAG_KEYS = {
@@ -100,6 +101,6 @@ def report(df: DataFrame, path: str, order: list[Column]) -> None:
     df.orderBy(*order).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def snapshot(ledger: DataFrame, path: str) -> None:
-    """A ledger's snapshot; readers see the old one or the new one, by the commit protocol."""
-    ledger.write.mode("overwrite").parquet(path)
+def snapshot(ledger: DataFrame, path: str) -> int:
+    """The next version of a ledger's table; readers see the old one or the new one (see ``snapshots``)."""
+    return snapshots.commit(ledger, path)
