@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import catalog, resolve
 from gleaner.plans.base import c, query
+from gleaner.sources import tags
 
 
 @query("""WITH w AS (SELECT DISTINCT p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(p_type) WHEN 1 THEN p_type || '!' ELSE p_name END AS name FROM part),
@@ -65,3 +66,25 @@ SELECT l_orderkey, 'P' || arg_min(l_partkey, k) FILTER (l_returnflag = 'A') AS a
 def catalog_sections(t):
     """Album and year from the metadata of an answer's sections."""
     return catalog.section_fields(_answers(t), "l_orderkey", "body")
+
+
+def _number(n, bits: int = 8):
+    """Four bytes, of eight or seven bits each."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, bits * k).bitwiseAND((1 << bits) - 1)), 2, "0") for k in (3, 2, 1, 0))))
+
+
+def _frame(name: str, body):
+    return F.concat(F.encode(F.lit(name), "utf-8"), _number(F.octet_length(body).cast("long")), F.unhex(F.lit("0000")), body)
+
+
+@query("""SELECT doc_id, lang AS title, source AS artist, md5(text) AS words, doc_id % 3 = 0 AS has_art, doc_id % 7 = 0 AS damaged FROM documents""")
+def container_tags(t):
+    """Tags of files that are made of the documents: language, source and the whole text as frames; some have a picture, some end within it."""
+    utf8 = F.unhex(F.lit("03"))
+    picture = F.when(c("doc_id") % 3 == 0, _frame("APIC", F.encode(F.repeat(F.lit("x"), 200), "utf-8"))).otherwise(F.unhex(F.lit("")))
+    cut = F.when(c("doc_id") % 7 == 0, F.concat(F.encode(F.lit("TCON"), "utf-8"), F.unhex(F.lit("0000FFFF0000")), utf8)).otherwise(F.unhex(F.lit("")))
+    words = F.concat(utf8, F.encode(F.lit("eng"), "utf-8"), F.unhex(F.lit("00")), F.encode("text", "utf-8"))
+    frames = F.concat(_frame("TIT2", F.concat(utf8, F.encode("lang", "utf-8"))), _frame("TPE1", F.concat(utf8, F.encode("source", "utf-8"))), _frame("USLT", words), picture, cut)
+    raw = F.concat(F.encode(F.lit("ID3"), "utf-8"), F.unhex(F.lit("030000")), _number(F.octet_length(frames).cast("long"), 7), frames)
+    read = t("documents").select("doc_id", raw.alias("raw")).select("doc_id", tags.parsed("raw").alias("p"))
+    return read.select("doc_id", c("p.tags")["TIT2"][0].alias("title"), c("p.tags")["TPE1"][0].alias("artist"), F.md5(F.encode("p.lyrics", "utf-8")).alias("words"), "p.has_art", c("p.error").isNotNull().alias("damaged"))
