@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from gleaner.session import release
 
 
+def fitted(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """A checkpointed table in no more partitions than its rows need: a small one makes few tasks and few shuffle files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -31,9 +36,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b) of one sortable type -> (node, root) for all nodes but the roots."""
+    """edges (a, b) of one sortable type -> (node, root) for all nodes but the roots.
+
+    Edges may repeat, in both directions; an edge with a null end, or of a node with itself, links nothing; an empty table gives an empty one.
+    """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
-    seen = None
+    now, seen = fitted(now, now.count()), None
     for _ in range(rounds):
         now = _small(_large(now)).checkpoint()
         release(now)
@@ -41,5 +49,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+        now, seen = fitted(now, mark[0]), mark
     raise RuntimeError("components did not settle")

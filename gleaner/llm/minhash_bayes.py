@@ -14,13 +14,13 @@ Documents link when the Jaccard similarity of their shingle sets is at least ``n
    ``doubt``. The chance that a linked pair leaves is stated by ``Plan.risk``.
 5. Exact verification. Survivors are compared by their full sets; only these comparisons
    link. Components are all that is wanted, so the likeliest candidates of each node come first,
-   and those whose ends are in one component by then need no comparison; rounds take four
+   and those whose ends are in one component by then need no comparison; rounds take sixteen
    times as many until none is left.
 6. The rest of each band. Stars say nothing of two nodes neither of which links to the
    pivot. In the groups whose nodes are now in several components, every pair of different
-   components is compared: the first batches in tasks that hold a group (a large one is
-   dealt into blocks; nodes of its largest component only meet the others, never each other),
-   what survives like the candidates of step 3. After that no pair of an equal band is undecided.
+   components is compared by signatures, batch by batch, in tasks that hold a group (a large one is
+   dealt into blocks; nodes of its largest component only meet the others, never each other);
+   what survives is verified as in step 5. After that no pair of an equal band is undecided.
 
 No pair is listed within a component, so a family of n near copies costs some multiples of n. What is not
 exact is only the choice of pairs (``miss`` and ``risk``, both for a pair exactly at the
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.components import components
+from gleaner.llm.components import components, fitted
 from gleaner.llm.pivot_join import Law, _nodes, _placed, _sizes, names, passes, sets, wanted
 from gleaner.session import release
 
@@ -161,9 +161,8 @@ def _bayes(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
 
 
 def _groups(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, node, comp, head) sorted by (key, i, j) -> pairs (a, b) of different components (and blocks, where i <> j) that survive the first batches."""
-    tests = [x for x in plan.batches if x[0] <= 64] or plan.batches[:1]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows (key, i, j, block, node, comp, sig) sorted by (key, i, j) -> (a, b, equal minima) of pairs of different components (and blocks, where i <> j) that survive every batch."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def compare(members: list[tuple]) -> None:
         i, j, block, node, comp, head = zip(*members, strict=True)
@@ -172,21 +171,29 @@ def _groups(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
         part, node, comp = np.array(block), np.array(node), np.array(comp)
         x = np.frombuffer(b"".join(head), np.uint16).reshape(len(node), -1)
         apart = i[0] != j[0]
+        # a pair that agrees in several bands is told by the group of the first one
+        bands = x.reshape(len(x), -1, plan.rows)
+        mine = np.flatnonzero((bands == bands[0]).all((0, 2)))
+        mine = mine[0] if len(mine) else -1
         for r in range(len(node) - 1):
             rest = r + 1 + np.flatnonzero((comp[r + 1 :] != comp[r]) & ((part[r + 1 :] != part[r]) | (not apart)))
             done, same = 0, np.zeros(len(rest), np.int64)
-            for n, least in tests:
+            for n, least in plan.batches:
                 if not len(rest):
                     break
                 same += (x[rest, done:n] == x[r, done:n]).sum(1)
                 rest, same, done = rest[same >= least], same[same >= least], n
             if len(rest):
-                found.append((np.minimum(node[rest], node[r]), np.maximum(node[rest], node[r])))
+                agree = (bands[rest] == bands[r]).all(2)
+                first = np.where(agree.any(1), agree.argmax(1), -1) == mine
+                rest, same = rest[first], same[first]
+            if len(rest):
+                found.append((np.minimum(node[rest], node[r]), np.maximum(node[rest], node[r]), same))
 
     def rows() -> pa.RecordBatch:
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], ["a", "b", "same"])
 
     key, members = None, []
     for batch in batches:
@@ -205,28 +212,36 @@ def _groups(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
 
 
 def _exact(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, b or null, set) sorted so that a's own set comes first in its share -> linked pairs (a, b)."""
-    key = mine = None
+    """Rows (i, j, a, b or null, set or null) sorted so that a cell's sets come before its pairs -> linked pairs (a, b)."""
+    cell, held = None, {}
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for a, salt, b, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            x = np.frombuffer(blob, np.uint64)
+        for i, j, a, b, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if (i, j) != cell:
+                cell, held = (i, j), {}
             if b is None:
-                key, mine = (a, salt), x
-            elif key == (a, salt):
-                common = np.count_nonzero(mine[np.minimum(np.searchsorted(mine, x), len(mine) - 1)] == x)
-                if law.den * common >= law.num * (len(mine) + len(x) - common):
+                held[a] = np.frombuffer(blob, np.uint64)
+            elif a in held and b in held:
+                x, y = held[a], held[b]
+                common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+                if law.den * common >= law.num * (len(x) + len(y) - common):
                     out.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, held: DataFrame, law: Law, share: int = 256) -> DataFrame:
-    """The pairs (a, b) that link by their full sets (node, hashes). Pairs of one a are dealt into shares, each with a's set once."""
-    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
-    each = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("salt"), "b")
-    others = each.join(held, each.b == held.node).select("a", "salt", "b", "hashes")
-    own = each.select("a", "salt").distinct().join(held, F.col("a") == held.node).select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
-    met = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def verified(pairs: DataFrame, held: DataFrame, law: Law, nodes: int = 512, size: int = 1 << 24) -> DataFrame:
+    """The pairs (a, b) that link by their full sets (node, hashes).
+
+    Nodes are dealt into blocks of some ``nodes`` sets and ``size`` bytes at most; a pair belongs to the cell of its ends' blocks, and a
+    cell gets each set that its pairs need once, however many pairs a set is in.
+    """
+    total = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes")).first()
+    blocks = 1 + max(total["n"] // nodes, (total["bytes"] or 0) // size)
+    i, j = (F.pmod(F.xxhash64(end), F.lit(blocks)).cast("int").alias(name) for end, name in (("a", "i"), ("b", "j")))
+    each = pairs.select(i, j, "a", "b")
+    needed = each.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = needed.join(held, "node").select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    met = rows.unionByName(each.withColumn("hashes", F.lit(None).cast("binary"))).repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
     return met.mapInArrow(lambda b: W.settled(_exact(b, law)), "a long, b long")
 
 
@@ -248,22 +263,26 @@ def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _settle(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, held: DataFrame, law: Law) -> tuple[DataFrame | None, DataFrame | None]:
     """Compares pairs (a, b, same) by their sets until every pair is compared or in one component; links and components with those before."""
-    take, now = 1, _labelled(pairs, comps)
+    take, now = 1, _labelled(pairs, comps)  # then 16, then all but those whose ends have met: three rounds at most for pairs of stars
     while True:
         # a pair belongs to its larger end; its likeliest pairs come first
         ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))).checkpoint()
-        if ranked.isEmpty():
+        n = ranked.count()
+        if not n:
             return links, comps
+        ranked = fitted(ranked, n)
         fresh = verified(ranked.where(F.col("rank") <= take).select("a", "b"), held, law)
         links = (fresh if links is None else links.unionByName(fresh)).checkpoint()
+        links = fitted(links, links.count())
         comps = _rooted(links)
-        now, take = _labelled(ranked.where(F.col("rank") > take).drop("rank"), comps), 4 * take
+        now, take = _labelled(ranked.where(F.col("rank") > take).drop("rank"), comps), 16 * take
         release(links)
 
 
 def _rooted(links: DataFrame) -> DataFrame:
     stars = components(links)
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).checkpoint()
+    rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).checkpoint()
+    return fitted(rooted, rooted.count())
 
 
 def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
@@ -276,6 +295,7 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
     # a filter of fixed size leaves out most bands that no other node has
     sent = spark.sparkContext.broadcast(wanted(shared.select("key")))
     members = sigs.mapInArrow(lambda b: _bands(b, plan, sent), "key long, node long").join(shared, "key").checkpoint()
+    members = fitted(members, members.count())
 
     def held(of: DataFrame) -> DataFrame:
         """(node, hashes) of the ends of pairs, from the text of one document each."""
@@ -292,6 +312,7 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
     else:
         known = members.join(comps, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     known = known.checkpoint()
+    known = fitted(known, known.count())
     release(known)
 
     # groups of several components; the largest component's nodes are at side 1, all others at side 0
@@ -304,11 +325,10 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
     placed = placed.withColumn("block", number)
     partners = F.when(F.col("side"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
     placed = placed.select("key", "node", "comp", "block", F.explode(partners).alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp")
-    heads = sigs.select("node", F.substring("sig", 1, 2 * min(64, plan.hashes)).alias("head"))
-    met = placed.join(heads, "node").select("key", "i", "j", "block", "node", "comp", "head").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = met.mapInArrow(lambda b: W.settled(_groups(b, plan)), "a long, b long").distinct()
+    met = placed.join(sigs, "node").select("key", "i", "j", "block", "node", "comp", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     # the stars that were compared are decided
-    rest = _likely(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), sigs, plan)
+    pairs = met.mapInArrow(lambda b: W.settled(_groups(b, plan)), "a long, b long, same long").dropDuplicates(["a", "b"])
+    rest = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
     if rest.isEmpty():
         return found if found is not None else rest.select("a", "b")
     found, _ = _settle(rest, found, comps, held(rest), law)
