@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import catalog, resolve
+from gleaner.operators import catalog, health, resolve
 from gleaner.plans.base import c, query
 from gleaner.sources import tags
 
@@ -88,3 +88,12 @@ def container_tags(t):
     raw = F.concat(F.encode(F.lit("ID3"), "utf-8"), F.unhex(F.lit("030000")), _number(F.octet_length(frames).cast("long"), 7), frames)
     read = t("documents").select("doc_id", raw.alias("raw")).select("doc_id", tags.parsed("raw").alias("p"))
     return read.select("doc_id", c("p.tags")["TIT2"][0].alias("title"), c("p.tags")["TPE1"][0].alias("artist"), F.md5(F.encode("p.lyrics", "utf-8")).alias("words"), "p.has_art", c("p.error").isNotNull().alias("damaged"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, [CASE WHEN o_totalprice < 50000 THEN 'small' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'not urgent' END, CASE WHEN o_orderkey % 10 = 0 THEN 'tenth' END] AS e FROM orders),
+y AS (SELECT o_orderkey, list_filter(e, lambda r: r IS NOT NULL) AS e FROM x)
+SELECT reason, count(*) AS n, min(o_orderkey) AS first_member FROM (SELECT o_orderkey, unnest(CASE WHEN len(e) = 0 THEN ['ok'] ELSE e END) AS reason FROM y) GROUP BY reason""")
+def run_reasons(t):
+    """How many rows a run found in order, and how many for each reason it had."""
+    rules = {"small": c("o_totalprice") < 50000, "not urgent": c("o_orderpriority").startswith("5"), "tenth": c("o_orderkey") % 10 == 0}
+    return health.reasons(health.checked(t("orders"), rules), "o_orderkey")
