@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,9 +64,10 @@ def is_generic(stem: Column, artist: Column, title: Column) -> Column:
 
 
 def duration_status(local: Column, catalog: Column) -> Column:
-    """REJECT_MIX, REJECT_SNIPPET or null, from two lengths."""
+    """REJECT_MIX, REJECT_SNIPPET or null, from two lengths; bounds of a whole catalog length are exact (0.4 * 84 is 33.6)."""
     known = (catalog > 0) & (local > 0)
-    return first_of([(known & ((local > catalog * 1.5) | (local - catalog > 60.0)), "REJECT_MIX"), (known & (local < catalog * 0.4), "REJECT_SNIPPET")])
+    most, least = catalog * F.lit(Decimal("1.5")), catalog * F.lit(Decimal("0.4"))
+    return first_of([(known & ((local > most) | (local - catalog > 60.0)), "REJECT_MIX"), (known & (local < least), "REJECT_SNIPPET")])
 
 
 def evaluate_match(found: Column, time_skew: Column, freq_skew: Column, local: Column, catalog: Column, generic: Column, local_remix: Column, catalog_remix: Column, overlap: Column, issue: Column, tolerance: float = 6.0) -> Column:

@@ -129,7 +129,7 @@ SELECT event_id, status, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN sta
 def match_evaluation(t):
     i = c("event_id")
     ev = classify.evaluate_match(
-        c("user_id") % 7 != 0, (i % 11) * 0.01, F.lit(0.0), F.abs("value"), (60 + i % 300).cast("double"), i % 5 == 0, i % 3 == 0, i % 6 == 0, i % 4 != 0, F.when(i % 2 == 0, "issue")
+        c("user_id") % 7 != 0, (i % 11) * 0.01, F.lit(0.0), F.abs("value"), 60 + i % 300, i % 5 == 0, i % 3 == 0, i % 6 == 0, i % 4 != 0, F.when(i % 2 == 0, "issue")
     )
     e = t("events").select("event_id", ev.alias("e"))
     return e.select("event_id", "e.status", "e.confidence", classify.match_bucket(c("e.status"), c("e.confidence")).alias("bucket"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import cluster, layers, ledger, match, plan, scan, survive, tree
+from gleaner.operators import classify, cluster, layers, ledger, match, plan, scan, survive, tree
 from gleaner.streaming import sessions
 
 c = F.col
@@ -119,3 +119,9 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     want = sessions.batch_sessions(events, "user_id", "ts", "30 minutes").collect()
     got = spark.sql("select * from sess where user_id >= 0").collect()
     assert sorted((r.user_id, r.n, r.started) for r in got) == sorted((r.user_id, r.n, r.started) for r in want)
+
+
+def test_bounds_of_whole_lengths_are_exact(spark):
+    df = spark.createDataFrame([(33.6, 84), (33.59, 84), (126.0, 84), (126.01, 84)], "l double, c long")
+    got = [r[0] for r in df.select(classify.duration_status(F.col("l"), F.col("c"))).collect()]
+    assert got == [None, "REJECT_SNIPPET", None, "REJECT_MIX"]
