@@ -7,6 +7,7 @@ in other engines. Functions that need Unicode normalization take columns that
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column
@@ -341,11 +342,26 @@ def minutes_cut(seconds: Column) -> Column:
     return F.coalesce(F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60), s % 60)), F.lit("--:--"))
 
 
+def _tenth_met(part: Column, k: int) -> Column:
+    """Whether a fraction, exact as a double, rounds to (k + 1) tenths or more; half-even."""
+    half = Fraction(2 * k + 1, 20)
+    near = float(half)
+    # where the double next to the half is above it, or is a tie that goes up to an even tenth, it counts
+    return part >= near if Fraction(near) > half or (Fraction(near) == half and k % 2) else part > near
+
+
+def one_decimal(x: Column) -> Column:
+    """Text of a number of 1 or more with one decimal, as C's %.1f: exact value, ties to even (format_string rounds ties up, and by its shortest digits)."""
+    whole = F.floor(x)
+    tenths = bound(x - whole, lambda part: reduce(lambda a, b: a + b, (_tenth_met(part, k).cast("long") for k in range(10))))
+    return bound(whole * 10 + tenths, lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")))
+
+
 def human_size(n: Column) -> Column:
-    out = F.when(n < 1024, F.format_string("%d B", n.cast("long")))
+    out = F.when(n < 1024, F.format_string("%d B", F.rint(n).cast("long")))
     for k, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k)))
-    return out.otherwise(F.format_string("%.1f GB", n / float(1024**3)))
+        out = out.when(n < 1024 ** (k + 1), F.concat(one_decimal(n / float(1024**k)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(one_decimal(n / float(1024**3)), F.lit(" GB")))
 
 
 def compact(n: Column) -> Column:

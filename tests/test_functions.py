@@ -144,3 +144,10 @@ def test_severe_mismatch(spark):
     assert severe("Some Long Unrelated Beginning Novacane", "Qqq Zzzzzzzz Wwwwww Novocane") is False
     assert severe("Some Long Unrelated Beginning Alpha", "Qqq Zzzzzzzz Wwwwww Jumped") is True
     assert severe("Novacane", "Novocaine") is False and severe("夢", "Yume") is False and severe("x", "") is False
+
+
+def test_sizes_round_as_c_does(spark):
+    sizes = [6553600.0, 7077888.0, 1024 * 1.15, 1024 * 1.55, 1024 * 1.85, 1024 * 1.95, 1048575.9, 1073741824 * 40.25, 1073741824 * 40.75]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x double").select(S.human_size(X)).collect()]
+    units = [(2**20, "MB"), (2**20, "MB"), *[(1024, "KB")] * 5, (2**30, "GB"), (2**30, "GB")]
+    assert got == ["%.1f %s" % (x / k, unit) for x, (k, unit) in zip(sizes, units, strict=True)]
