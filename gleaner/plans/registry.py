@@ -99,8 +99,8 @@ SELECT c_custkey, s_suppkey, round(score, 6) AS score FROM r WHERE rank = 1""")
 def best_match_band(t):
     q = t("customer").select("c_custkey", c("c_nationkey").alias("nation"), "c_acctbal")
     h = t("supplier").select("s_suppkey", c("s_nationkey").alias("nation"), "s_acctbal")
-    gap = F.abs(c("c_acctbal") - c("s_acctbal"))
-    return match.top_matches(q, h, ["nation"], F.lit(3.0) - gap / 1000, [c("s_suppkey")], "c_custkey", gap <= 2500, near=(c("c_acctbal"), c("s_acctbal"), 2500)).select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
+    found = match.nearest_matches(q, h, ["nation"], "c_acctbal", "s_acctbal", lambda gap: F.lit(3.0) - gap / 1000, ["s_suppkey"], "c_custkey", 2500)
+    return found.select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
 
 
 @query("""WITH x AS (SELECT c_custkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) AS rank

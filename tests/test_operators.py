@@ -125,3 +125,16 @@ def test_bounds_of_whole_lengths_are_exact(spark):
     df = spark.createDataFrame([(33.6, 84), (33.59, 84), (126.0, 84), (126.01, 84)], "l double, c long")
     got = [r[0] for r in df.select(classify.duration_status(F.col("l"), F.col("c"))).collect()]
     assert got == [None, "REJECT_SNIPPET", None, "REJECT_MIX"]
+
+
+def test_nearest_matches_are_the_best_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [None, 0.0, float("inf"), float("nan"), 1e15, 0.3, 0.1 + 0.2, *(rng.randrange(-3000, 3000) / 4 for _ in range(60))]
+    q = spark.createDataFrame([(i, rng.choice([1, 2, None]), rng.choice(values)) for i in range(200)], "q long, b int, v double")
+    h = spark.createDataFrame([(i, rng.choice([1, 2, None]), rng.choice(values)) for i in range(80)], "h long, b int, w double")
+    gap = F.abs(c("v") - c("w"))
+    want = match.top_matches(q, h, ["b"], 3.0 - gap / 50, [c("h")], "q", gap <= 100).select("q", "v", "h", "w", "score")
+    got = match.nearest_matches(q, h, ["b"], "v", "w", lambda g: 3.0 - g / 50, ["h"], "q", 100).select("q", "v", "h", "w", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 80
