@@ -52,3 +52,15 @@ def test_words(spark):
     rows = [(["nova", "cane"], ["novo", "x"]), (["same"], ["same"]), ([], ["a"]), (["abc"], ["xyz"]), (None, ["a"])]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
     assert [r[0] for r in S.with_words_alike(df.withColumn("all", F.lit(True)), "a", "b", 0.75, "all", "r").select("r").collect()] == [True, True, False, False, False]
+
+
+def test_each_pair_of_names_is_compared_once(spark, tmp_path):
+    from gleaner.plans.registry import QUERIES
+
+    names = [("large ring", "LARGE"), ("hot bolt", "ECONOMY"), (None, "SMALL"), ("hot bolt", None)]
+    spark.createDataFrame([(i, *names[i % 4]) for i in range(200)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["seq_ratio_mismatch"](spark, str(tmp_path))
+    got = {r.p_partkey: r.severe for r in df.collect()}
+    assert got == {i: i % 4 == 1 for i in range(200)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.rindex("Aggregate") > plan.rindex("PythonUDF" if "PythonUDF" in plan else "EvalPython")
