@@ -270,14 +270,20 @@ SCRIPTS = {
 
 def script_counts(x: Column) -> dict[str, Column]:
     """Letters of each script; latin and other are letters of no other script."""
-    def held(pattern: str) -> Column:
-        return F.char_length(F.regexp_replace(x, f"[^{pattern}]", ""))
+    return _counts(*_parts(x))
 
-    out = {name: held(pattern) for name, pattern in SCRIPTS.items()}
+
+def _parts(x: Column) -> tuple[Column, Column]:
+    """How many ASCII letters there are, and what isn't ASCII: only that meets the scripts' patterns. Runs are taken out, not single characters."""
+    return F.char_length(F.regexp_replace(x, "[^A-Za-z]++", "")), F.regexp_replace(x, r"[\x00-\x7F]++", "")
+
+
+def _counts(ascii_letters: Column, left: Column) -> dict[str, Column]:
+    out = {name: F.char_length(F.regexp_replace(left, f"[^{pattern}]++", "")) for name, pattern in SCRIPTS.items()}
     rest = "".join(SCRIPTS.values())
-    latin = rf"\p{{L}}&&[\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]&&[^{rest}]"
-    out["latin"] = F.char_length(F.regexp_replace(x, f"[^[{latin}]]", ""))
-    out["other"] = F.char_length(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}]", ""), rf"[{rest}\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]", ""))
+    latin = rf"\p{{L}}&&[\x{{0080}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]&&[^{rest}]"
+    out["latin"] = ascii_letters + F.char_length(F.regexp_replace(left, f"[^[{latin}]]++", ""))
+    out["other"] = F.char_length(F.regexp_replace(F.regexp_replace(left, r"[^\p{L}]++", ""), rf"[{rest}\x{{0080}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]++", ""))
     return out
 
 
@@ -290,15 +296,18 @@ def guess_language(x: Column, folded: Column | None = None, foreign: float = 0.1
     """ja, ko, zh, ru or en where the writing tells, else und. x in NFC; folded for English words."""
     w = words(F.lower(x) if folded is None else folded)
     hits = bound(w, lambda v: F.struct(F.size(v).alias("words"), F.size(F.filter(v, lambda t: t.isin(*ENGLISH_WORDS))).alias("hits")))
-    seen = F.struct(*(n.alias(name) for name, n in script_counts(x).items()), hits.alias("english"))
+    plain, left = _parts(x)
+    scripts = bound(F.struct(plain.alias("plain"), left.alias("left")), lambda p: F.struct(*(n.alias(name) for name, n in _counts(p["plain"], p["left"]).items())))
+    seen = F.struct(scripts.alias("scripts"), hits.alias("english"))
 
-    def told(c: Column) -> Column:
+    def told(both: Column) -> Column:
+        c, words_seen = both["scripts"], both["english"]
         letters = reduce(lambda a, b: a + b, (c[name] for name in (*SCRIPTS, "latin", "other")))
         by_script = (
             F.when(c["hangul"] > c["kana"] + c["han"], "ko").when(c["kana"] > 0, "ja").when((c["cyrillic"] > 0) & (c["cyrillic"] >= c["other"]), "ru")
             .when((c["han"] > 0) & (c["han"] >= c["other"]), "zh").otherwise("und")
         )
-        by_words = F.when((c["english"]["words"] > 0) & (c["english"]["hits"] / c["english"]["words"] >= english), "en").otherwise("und")
+        by_words = F.when((words_seen["words"] > 0) & (words_seen["hits"] / words_seen["words"] >= english), "en").otherwise("und")
         return F.when(letters == 0, "en").when((letters - c["latin"]) / letters >= foreign, by_script).otherwise(by_words)
 
     return bound(seen, told)

@@ -151,3 +151,15 @@ def test_sizes_round_as_c_does(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x double").select(S.human_size(X)).collect()]
     units = [(2**20, "MB"), (2**20, "MB"), *[(1024, "KB")] * 5, (2**30, "GB"), (2**30, "GB")]
     assert got == ["%.1f %s" % (x / k, unit) for x, (k, unit) in zip(sizes, units, strict=True)]
+
+
+def test_scripts_are_counted_from_two_passes_over_a_text(spark):
+    texts = ["Plain words, 12!", "été naïve ŵ", "ひらカナ漢字abc", "Привет мир", "한글 text", "עברית ﬁ 𝒜x", "", None, "Ελλ abc é"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    rest = "".join(S.SCRIPTS.values())
+    naive = {n: F.char_length(F.regexp_replace("x", f"[^{p}]", "")) for n, p in S.SCRIPTS.items()}
+    naive["latin"] = F.char_length(F.regexp_replace("x", rf"[^[\p{{L}}&&[\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]&&[^{rest}]]]", ""))
+    naive["other"] = F.char_length(F.regexp_replace(F.regexp_replace("x", r"[^\p{L}]", ""), rf"[{rest}\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]", ""))
+    assert df.select(*(v.alias(k) for k, v in S.script_counts(X).items())).collect() == df.select(*(v.alias(k) for k, v in naive.items())).collect()
+    plan = df.select(S.guess_language(X))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(x#") == 2
