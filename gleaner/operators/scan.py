@@ -12,10 +12,14 @@ the ranges than there are ranges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.session import shared_dir
 
@@ -107,28 +111,109 @@ def stop_after(df: DataFrame, keys: list[str], order: list[str | Column], failed
     return s.df.drop("__bad", "__n", "__ok", "__over")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A range's rows (chunk, h, g, amount) in order -> (chunk, h, g, kind, low, used, n) of its first and its last key.
+
+    Kind 0, of the first key: what an open batch from before comes to, for sizes of it above ``low`` (the greatest such row counts): n
+    batches begin here and the last has the size ``used``; with n = 0 ``used`` is added. Kind 1, of the last key: the same if it begins here.
+    """
+    first, head, last, used, n = [], None, None, 0, 0
+    chunk = None
+    for batch in batches:
+        for chunk, h, g, q in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if (h, g) != last:
+                last, used, n = (h, g), q, 1
+                head = head or last
+            elif used + q > most:
+                used, n = q, n + 1
+            else:
+                used += q
+            if last == head:
+                first.append(q)
+    if head is None:
+        return
+    out = [(*last, 1, None, used, n)]
+    size = np.array(first, np.int64)
+    upto = np.cumsum(size)
+    following = np.maximum(np.arange(1, len(size) + 1), np.searchsorted(upto, upto - size + most, "right")).tolist()
+    # from the last row back: the size of the last batch and how many there are, if one begins at the row
+    end, many, whole = [0] * len(first), [1] * len(first), int(upto[-1])
+    for i in range(len(first) - 1, -1, -1):
+        k = following[i]
+        end[i], many[i] = (end[k], many[k] + 1) if k < len(first) else (whole - int(upto[i]) + first[i], 1)
+    for i in range(len(first)):
+        if i == 0 or first[i]:
+            out.append((*head, 0, most - int(upto[i]), end[i], many[i]))
+        if upto[i] > most:
+            break
+    else:
+        out.append((*head, 0, -1, whole, 0))
+    h, g, kind, low, used, n = zip(*out, strict=True)
+    columns = [pa.array([chunk] * len(out), pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (low, used, n))]
+    yield pa.RecordBatch.from_arrays(columns, ["chunk", "h", "g", "kind", "low", "used", "n"])
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_parts`` by key and range, low from the greatest down -> (chunk, h, g, used, n): the batch that is open before a range."""
+    key, state, at, done = None, None, None, False
+    for batch in batches:
+        out = []
+        for chunk, h, g, kind, low, used, n in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (h, g) != key:
+                key, state, at = (h, g), None, None
+            if chunk != at:
+                at, done = chunk, False
+                if state is not None:
+                    out.append((chunk, h, g, *state))
+            if done or (kind == 1) != (state is None):
+                continue
+            if state is None:
+                state, done = (used, n), True
+            elif low < state[0]:
+                state, done = (used if n else state[0] + used, state[1] + n), True
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["chunk", "h", "g", "used", "n"])
+
+
+def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A range's rows (..., h, g, amount, used, n) in order -> the other columns and batch."""
+    key, used, n = None, 0, 0
+    for batch in batches:
+        wide, out = batch.num_columns - 5, []
+        for h, g, q, before, had in zip(*(batch.column(wide + c).to_pylist() for c in range(5)), strict=True):
+            if (h, g) != key:
+                key = (h, g)
+                used, n = (0, 1) if before is None else (before, had)
+                if before is None:
+                    used = q
+                    out.append(0)
+                    continue
+            if used + q > most:
+                used, n = q, n + 1
+            else:
+                used += q
+            out.append(n - 1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(wide)), pa.array(out, pa.int64())], [*batch.schema.names[:wide], "batch"])
+
+
 def size_batches(df: DataFrame, keys: list[str], order: list[str | Column], size: str, most: int) -> DataFrame:
     """batch: 0, 1, ... within each key; a batch takes rows while their sizes add up to at most ``most``, a larger row is a batch of its own.
 
-    Sizes are not negative; null sizes count as 0. A batch that begins at row i ends before the first later row whose running sum is above
-    (sum before i) + most. These next rows come from one scan of sums and such limits together; which
-    rows begin a batch is found by doubling: after k rounds the first 2^k batches of every key are known.
+    Sizes are not negative; null sizes count as 0. Rows are read in order, range by range. All that a range needs to know of those before is
+    the size of the batch that is open, and what that comes to at the range's end is a step function of it with
+    ``most`` + 2 steps at most. These functions, of one key in each range, are followed first; then all ranges go side by side.
     """
     amount = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    s = Scan(df, keys, order).add(__s=("sum", amount), __i=("sum", F.lit(1).cast("long")))
-    s.rows = s.rows.withColumn("__g", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))).checkpoint()
-    sums = s.rows.select("__g", F.col("__s").alias("__at"), F.lit(1).alias("__kind"), "__i")
-    limits = s.rows.select("__g", (F.col("__s") - amount + most).alias("__at"), F.lit(0).alias("__kind"), "__i")
-    # from the greatest value down, the last sum above a limit is the least one above it
-    met = Scan(sums.unionByName(limits), ["__g"], [F.desc("__at"), "__kind", F.desc("__i")])
-    met = met.add(__next=("last_before", F.when(F.col("__kind") == 1, F.col("__i")))).df.where("__kind = 0")
-    count = s.rows.groupBy("__g").agg(F.max("__i").alias("__rows"))
-    jumps = met.join(count, "__g").select("__g", "__i", F.when(F.col("__next").isNotNull(), F.greatest("__next", F.col("__i") + 1)).alias("__next"), "__rows")
-    jumps = jumps.where("__next <= __rows").select("__g", "__i", "__next").checkpoint()
-    starts = count.select("__g", F.lit(1).cast("long").alias("__i")).checkpoint()
-    while not jumps.isEmpty():
-        starts = starts.unionByName(starts.join(jumps, ["__g", "__i"]).select("__g", F.col("__next").alias("__i"))).checkpoint()
-        later = jumps.select("__g", F.col("__i").alias("__next"), F.col("__next").alias("__then"))
-        jumps = jumps.join(later, ["__g", "__next"]).select("__g", "__i", F.col("__then").alias("__next")).checkpoint()
-    s.rows = s.rows.join(starts.withColumn("__start", F.lit(1)), ["__g", "__i"], "left")
-    return s.add(__b=("sum", F.coalesce("__start", F.lit(0)).cast("long"))).df.select(*df.columns, (F.col("__b") - 1).alias("batch"))
+    s = Scan(df, keys, order)
+    # two hashes tell neighbouring keys apart
+    key = [F.xxhash64(*keys).alias("__h"), F.hash(*keys).alias("__g")] if keys else [F.lit(0).cast("long").alias("__h"), F.lit(0).alias("__g")]
+    by = [F.col(CHUNK), *(F.col(k) for k in keys), *s.order]
+    rows = s.rows.sortWithinPartitions(*by).select(F.col(CHUNK).cast("int").alias("chunk"), *key, amount.alias("amount"))
+    parts = rows.mapInArrow(lambda b: _parts(b, most), "chunk int, h long, g int, kind int, low long, used long, n long")
+    parts = parts.repartition("h", "g").sortWithinPartitions("h", "g", "chunk", "kind", F.desc("low"))
+    carried = parts.mapInArrow(_carried, "chunk int, h long, g int, used long, n long").checkpoint()
+    known = F.broadcast(carried.select(F.col("chunk").alias(CHUNK), F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("used").alias("__used"), F.col("n").alias("__n")))
+    every = s.rows.withColumns({"__h": key[0], "__g": key[1], "__amount": amount}).join(known, [CHUNK, "__h", "__g"], "left").sortWithinPartitions(*by)
+    kind = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return every.select(*df.columns, "__h", "__g", "__amount", "__used", "__n").mapInArrow(lambda b: _batches(b, most), kind)

@@ -100,3 +100,23 @@ def test_free_names_equal_a_loop(spark):
         own.add(n)
         expect[i] = stem if n == 1 else f"{stem} ({n})"
     assert {r.id: r.final for r in got.collect()} == expect
+
+
+def test_size_batches_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [("a" if i < 2900 else "b", i, rng.choice([0, 1, 3, 7, 10, 11])) for i in range(3000)]
+    df, calls = spark.createDataFrame(data, SCHEMA), []
+    cls = type(df)
+    cut = cls.checkpoint
+    monkeypatch.setattr(cls, "checkpoint", lambda self, *a, **k: calls.append(1) or cut(self, *a, **k))
+    got = {r.i: r.batch for r in scan.size_batches(df, ["k"], ["i"], "v", 10).collect()}
+    assert len(calls) == 2  # ranges, and what goes from one to the next
+    last, batch, used = None, 0, 0
+    for k, i, v in data:
+        if k != last:
+            last, batch, used = k, 0, v
+        elif used + v > 10:
+            batch, used = batch + 1, v
+        else:
+            used += v
+        assert got[i] == batch
