@@ -19,10 +19,13 @@ Documents link when the Jaccard similarity of their shingle sets is at least ``n
 6. The rest of each band. Stars say nothing of two nodes neither of which links to the
    pivot. In the groups whose nodes are now in several components, every pair of different
    components is compared by signatures, batch by batch, in tasks that hold a group (a large one is
-   dealt into blocks; nodes of its largest component only meet the others, never each other);
-   what survives is verified as in step 5. After that no pair of an equal band is undecided.
+   dealt into blocks; nodes of its largest component only meet the others, never each other).
+   What survives is one row for each node and group, with the list of its candidates, the likeliest first; a task
+   that holds two blocks of sets compares the lists by the full sets, and no pair whose ends it has
+   joined. After that no pair of an equal band is undecided.
 
-No pair is listed within a component, so a family of n near copies costs some multiples of n. What is not
+No pair is listed within a component, so a family of n near copies costs some multiples of n. Pairs just below the threshold,
+which neither link nor leave, are compared one and all, but in tasks: no join makes a row of each. What is not
 exact is only the choice of pairs (``miss`` and ``risk``, both for a pair exactly at the
 threshold; more similar pairs are missed far less often); nothing is sampled or capped.
 64-bit hashes stand for shingles and sets.
@@ -42,12 +45,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
 from gleaner.llm.components import components, fitted
-from gleaner.llm.pivot_join import Law, _nodes, _placed, _sizes, names, passes, sets, wanted
+from gleaner.llm.pivot_join import Law, Region, _nodes, _placed, _sizes, names, passes, sets, wanted
 from gleaner.session import release
 
 _rng = np.random.Generator(np.random.PCG64(20251003))
@@ -55,6 +59,8 @@ _rng = np.random.Generator(np.random.PCG64(20251003))
 CHUNK = 1 << 16
 #: Members of a block of a large group.
 BLOCK = 2048
+#: Candidates that a task lists before it hands them on.
+LISTED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -135,15 +141,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(n, -1) if n else np.zeros((0, 1), np.uint16)
 
 
+def _key(sig: np.ndarray, band: int, rows: int) -> np.ndarray:
+    """The key of a band of each signature (64-bit numbers)."""
+    key = np.full(len(sig), band + 1, np.uint64)
+    for j in range(band * rows, (band + 1) * rows):
+        key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch], plan: Plan, sent=None) -> Iterator[pa.RecordBatch]:
     """Rows (node, sig) -> (key, node) for each band, or for those that pass the filter."""
     for batch in batches:
         sig, node = _matrix(batch.column(1)).astype(np.uint64), np.asarray(batch.column(0))
         for band in range(plan.bands if len(node) else 0):
-            key = np.full(len(node), band + 1, np.uint64)
-            for j in range(band * plan.rows, (band + 1) * plan.rows):
-                key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
-            key = key.view(np.int64)
+            key = _key(sig, band, plan.rows)
             keep = passes(sent.value, key) if sent is not None else slice(None)
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
 
@@ -160,21 +171,27 @@ def _bayes(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(same[alive])], ["a", "b", "same"])
 
 
+def _lists(a: np.ndarray, b: np.ndarray, first: np.ndarray, more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    """(more, a, b): rows that begin at ``first``, b as lists."""
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(b)), pa.int32()), pa.array(b, pa.int64()))
+    columns = {**(more or {}), "a": a}
+    return pa.RecordBatch.from_arrays([*(pa.array(x[first], pa.int64()) for x in columns.values()), lists], [*columns, "b"])
+
+
 def _groups(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, node, comp, sig) sorted by (key, i, j) -> (a, b, equal minima) of pairs of different components (and blocks, where i <> j) that survive every batch."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Rows (key, i, j, block, node, comp, sig) sorted by (key, i, j) -> (a, list of b, the likeliest first): pairs of different components (and blocks, where i <> j) that survive every batch."""
 
-    def compare(members: list[tuple]) -> None:
-        i, j, block, node, comp, head = zip(*members, strict=True)
+    def compare(key: tuple, members: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, node, comp, head = zip(*members, strict=True)
         if len(node) < 2:
             return
         part, node, comp = np.array(block), np.array(node), np.array(comp)
         x = np.frombuffer(b"".join(head), np.uint16).reshape(len(node), -1)
-        apart = i[0] != j[0]
+        apart = key[1] != key[2]
         # a pair that agrees in several bands is told by the group of the first one
-        bands = x.reshape(len(x), -1, plan.rows)
-        mine = np.flatnonzero((bands == bands[0]).all((0, 2)))
-        mine = mine[0] if len(mine) else -1
+        bands, one = x.reshape(len(x), -1, plan.rows), x[:1].astype(np.uint64)
+        mine = next(band for band in range(plan.bands) if _key(one, band, plan.rows)[0] == key[0])
+        found, held = [], 0
         for r in range(len(node) - 1):
             rest = r + 1 + np.flatnonzero((comp[r + 1 :] != comp[r]) & ((part[r + 1 :] != part[r]) | (not apart)))
             done, same = 0, np.zeros(len(rest), np.int64)
@@ -184,64 +201,111 @@ def _groups(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
                 same += (x[rest, done:n] == x[r, done:n]).sum(1)
                 rest, same, done = rest[same >= least], same[same >= least], n
             if len(rest):
-                agree = (bands[rest] == bands[r]).all(2)
-                first = np.where(agree.any(1), agree.argmax(1), -1) == mine
+                first = (bands[rest] == bands[r]).all(2).argmax(1) == mine
                 rest, same = rest[first], same[first]
             if len(rest):
-                found.append((np.minimum(node[rest], node[r]), np.maximum(node[rest], node[r]), same))
-
-    def rows() -> pa.RecordBatch:
-        a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], ["a", "b", "same"])
+                found.append((node[r], node[rest[np.argsort(-same, kind="stable")]]))
+                held += len(rest)
+            if held >= LISTED or found and r == len(node) - 2:
+                size = np.array([len(b) for _, b in found])
+                yield _lists(np.repeat([a for a, _ in found], size), np.concatenate([b for _, b in found]), np.cumsum(size) - size)
+                found, held = [], 0
 
     key, members = None, []
     for batch in batches:
-        for k, *member in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-            if (k, member[0], member[1]) != key:
+        for k, i, j, *member in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (k, i, j) != key:
                 if members:
-                    compare(members)
-                key, members = (k, member[0], member[1]), []
-                if len(found) > 1000:
-                    yield rows()
+                    yield from compare(key, members)
+                key, members = (k, i, j), []
             members.append(member)
     if members:
-        compare(members)
-    if found:
-        yield rows()
+        yield from compare(key, members)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Places where sorted rows differ from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(out)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], blocks: int, what: str) -> Iterator[pa.RecordBatch]:
+    """Rows (a, list of b) -> the parts of each list by the cell of its ends' blocks: (cell, a, list of b); or the cells that need a node: (node, list of cells)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):  # lists are as long as two blocks of a group at most
+            part = batch.slice(lo, 256)
+            a, b = np.asarray(part.column(0)), np.asarray(part.column(1).flatten())
+            a = np.repeat(a, np.asarray(pc.list_value_length(part.column(1))))
+            i, j = ((W.mix(end.view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(blocks)).astype(np.int64) for end in (a, b))
+            cell = np.minimum(i, j) * blocks + np.maximum(i, j)
+            if what == "nodes":
+                node, cell = np.concatenate((a, b)), np.tile(cell, 2)
+                order = np.lexsort((cell, node))
+                once = order[_new(node[order], cell[order])]
+                yield _lists(node[once], cell[once], _new(node[once]))
+            else:
+                order = np.lexsort((a, cell))  # stable: the likeliest stay first
+                a, b, cell = a[order], b[order], cell[order]
+                yield _lists(a, b, _new(cell, a), {"cell": cell})
 
 
 def _exact(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
-    """Rows (i, j, a, b or null, set or null) sorted so that a cell's sets come before its pairs -> linked pairs (a, b)."""
-    cell, held = None, {}
+    """Rows (cell, a, its component or null, list of b or null, set or null) sorted so that a cell's sets come before its lists -> linked pairs (a, b) that join components."""
+    cell, held, at, region = None, [], {}, None
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for i, j, a, b, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-            if (i, j) != cell:
-                cell, held = (i, j), {}
-            if b is None:
-                held[a] = np.frombuffer(blob, np.uint64)
-            elif a in held and b in held:
-                x, y = held[a], held[b]
-                common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
-                if law.den * common >= law.num * (len(x) + len(y) - common):
-                    out.append((a, b))
+        for here, a, root, others, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if here != cell:
+                cell, held, region = here, [], None
+            if others is None:
+                held.append((a, root, blob))
+                continue
+            if region is None:
+                nodes, roots, blobs = zip(*held, strict=True)
+                held, at, region = [], {node: k for k, node in enumerate(nodes)}, Region(list(blobs), law, every=False)
+                region.comp = np.unique(np.array(roots), return_inverse=True)[1]
+            y, comp, size = at[a], region.comp, region.size
+            ids = np.array([at[b] for b in others])
+            lo, hi = 0, 16
+            while lo < len(ids):
+                part = ids[lo:hi]
+                part = part[comp[part] != comp[y]]
+                lo, hi = hi, hi + 128
+                if len(part):
+                    common = region.common(y, part)
+                    for x in part[law.den * common >= law.num * (size[y] + size[part] - common)].tolist():
+                        if comp[x] != comp[y]:
+                            comp[comp == comp[x]] = comp[y]
+                            out.append((a, nodes[x]))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, held: DataFrame, law: Law, nodes: int = 512, size: int = 1 << 24) -> DataFrame:
-    """The pairs (a, b) that link by their full sets (node, hashes).
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct nodes of rows (a, b or list of b)."""
+    for batch in batches:
+        a, b = batch.column(0), batch.column(1)
+        nodes = np.unique(np.concatenate((np.asarray(a), np.asarray(b.flatten() if pa.types.is_list(b.type) else b))))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64())], ["node"])
+
+
+def verified(pairs: DataFrame, held: DataFrame, comps: DataFrame | None, law: Law, nodes: int = 512, size: int = 1 << 24) -> DataFrame:
+    """Of the pairs (a, list of b), compared by their full sets (node, hashes), links (a, b) that have the components of all that link.
 
     Nodes are dealt into blocks of some ``nodes`` sets and ``size`` bytes at most; a pair belongs to the cell of its ends' blocks, and a
     cell gets each set that its pairs need once, however many pairs a set is in.
     """
     total = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes")).first()
     blocks = 1 + max(total["n"] // nodes, (total["bytes"] or 0) // size)
-    i, j = (F.pmod(F.xxhash64(end), F.lit(blocks)).cast("int").alias(name) for end, name in (("a", "i"), ("b", "j")))
-    each = pairs.select(i, j, "a", "b")
-    needed = each.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = needed.join(held, "node").select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    met = rows.unionByName(each.withColumn("hashes", F.lit(None).cast("binary"))).repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
+    lists = pairs.mapInArrow(lambda b: _dealt(b, blocks, "lists"), "cell long, a long, b array<long>")
+    # a node is in some groups, and a row for each group and cell would be many more
+    needed = pairs.mapInArrow(lambda b: _dealt(b, blocks, "nodes"), "a long, b array<long>").toDF("node", "cells")
+    needed = needed.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells"))
+    root = F.col("node")
+    if comps is not None:
+        held, root = held.join(comps, "node", "left"), F.coalesce("root", "node")
+    rows = needed.join(held, "node").select(F.explode("cells").alias("cell"), F.col("node").alias("a"), root.alias("of"), F.lit(None).cast("array<long>").alias("b"), "hashes")
+    met = rows.unionByName(lists, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
     return met.mapInArrow(lambda b: W.settled(_exact(b, law)), "a long, b long")
 
 
@@ -261,8 +325,14 @@ def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
     return pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").drop("of_a", "of_b")
 
 
-def _settle(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, held: DataFrame, law: Law) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compares pairs (a, b, same) by their sets until every pair is compared or in one component; links and components with those before."""
+def _settle(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, held: DataFrame, law: Law, lists: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
+    """Compares pairs (a, b, same) by their sets until every pair is compared or in one component; links and components with those before.
+
+    lists: pairs are (a, list of b), the likeliest first, of different components; one round, and the components stay as they were.
+    """
+    if lists:
+        fresh = verified(pairs, held, comps, law)
+        return (fresh if links is None else links.unionByName(fresh)).checkpoint(), comps
     take, now = 1, _labelled(pairs, comps)  # then 16, then all but those whose ends have met: three rounds at most for pairs of stars
     while True:
         # a pair belongs to its larger end; its likeliest pairs come first
@@ -271,7 +341,7 @@ def _settle(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None,
         if not n:
             return links, comps
         ranked = fitted(ranked, n)
-        fresh = verified(ranked.where(F.col("rank") <= take).select("a", "b"), held, law)
+        fresh = verified(ranked.where(F.col("rank") <= take).select("a", F.array("b").alias("b")), held, comps, law)
         links = (fresh if links is None else links.unionByName(fresh)).checkpoint()
         links = fitted(links, links.count())
         comps = _rooted(links)
@@ -298,8 +368,8 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
     members = fitted(members, members.count())
 
     def held(of: DataFrame) -> DataFrame:
-        """(node, hashes) of the ends of pairs, from the text of one document each."""
-        ends = of.select(F.col("a").alias("node")).unionByName(of.select(F.col("b").alias("node"))).distinct()
+        """(node, hashes) of the ends of pairs (b may be a list), from the text of one document each."""
+        ends = of.mapInArrow(_ends, "node long").distinct()
         picked = sizes.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
         some = spark.sparkContext.broadcast(wanted(picked.select("key")))
         found = rows.mapInArrow(lambda b: W.settled(_nodes(b, law, "sets", some)), "node long, hashes binary")
@@ -307,6 +377,8 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
 
     stars = _likely(members.where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), sigs, plan)
     found, comps = _settle(stars, None, None, held(stars), law)
+    # every pair of a group's pivot is decided
+    members = members.where("node <> p")
     if comps is None:
         known = members.select("key", "node", F.col("node").alias("comp"))
     else:
@@ -326,13 +398,10 @@ def links(df: DataFrame, sizes: DataFrame, plan: Plan, id_col: str, text_col: st
     partners = F.when(F.col("side"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
     placed = placed.select("key", "node", "comp", "block", F.explode(partners).alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp")
     met = placed.join(sigs, "node").select("key", "i", "j", "block", "node", "comp", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    # the stars that were compared are decided
-    pairs = met.mapInArrow(lambda b: W.settled(_groups(b, plan)), "a long, b long, same long").dropDuplicates(["a", "b"])
-    rest = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
+    rest = met.mapInArrow(lambda b: W.settled(_groups(b, plan)), "a long, b array<long>").checkpoint()
     if rest.isEmpty():
-        return found if found is not None else rest.select("a", "b")
-    found, _ = _settle(rest, found, comps, held(rest), law)
-    return found
+        return found if found is not None else stars.select("a", "b")
+    return _settle(rest, found, comps, held(rest), law, True)[0]
 
 
 def near(df: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

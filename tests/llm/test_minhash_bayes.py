@@ -65,6 +65,21 @@ def test_a_large_family_costs_no_pair_of_its_own(spark, monkeypatch):
     assert {c for _, _, c in got} == {0} and sum(asked) < 50 * len(rows)
 
 
+def test_pairs_below_the_threshold_make_no_row_each(spark, monkeypatch):
+    asked = []
+    settle = M._settle
+    monkeypatch.setattr(M, "_settle", lambda pairs, *rest: asked.append(pairs.count()) or settle(pairs, *rest))
+    rows = family(600, 5, 17)
+    assert found(spark, rows) == brute(rows, 2, 80, 100)
+    assert 0 < asked[1] < 20 * len(rows)  # a row for each pair were 17,795
+
+
+def test_lists_longer_than_a_hand_over(spark, monkeypatch):
+    monkeypatch.setattr(M, "LISTED", 50)
+    rows = family(200, 4, 16)
+    assert found(spark, rows, block=32) == brute(rows, 2, 80, 100)
+
+
 def test_plan_states_its_probabilities():
     plan = M.Plan()
     assert (1 - 0.8**plan.rows) ** plan.bands <= plan.miss and plan.hashes == plan.rows * plan.bands
