@@ -27,6 +27,8 @@ at least ``num/den`` (distance at most t). Steps:
    with those in its triangle window: |d(x, p) - d(y, p)| <= t for all pivots p; such a
    cell, if it is larger than a task (``block`` sets, ``BYTES`` bytes), is dealt into
    pairs of blocks by hash, so that every pair of sets meets in a task of two blocks.
+   Where only components are wanted, members within t of its pivots are linked to these,
+   and no two of a team that such links join are compared: a family costs what it has.
    Regions of sketches are split in the same way, by the sketches' metric.
 5. A task counts for each set the copies of the sets it links to, every link in one
    cell only, and gives the links that join two trees, from which components are found.
@@ -65,6 +67,8 @@ BYTES = 1 << 25
 PIVOTS, ROUNDS = 8, 12
 #: 64-bit words of the filter that is sent to all executors to pick texts: 16 MB, however many texts are wanted.
 FILTER = 1 << 21
+#: Sketches held against others at once, and counts that are compared in unary.
+RUN, UNARY = 256, 12
 
 
 @dataclass(frozen=True)
@@ -364,24 +368,43 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
 
 
 def sketch_links(sketches: np.ndarray, law: Law, part: np.ndarray | None) -> list[tuple[int, int]]:
-    """Stars of the components of the pairs within t by their sketches (of different blocks, if part is given)."""
+    """Stars of the components of the pairs within t by their sketches (of different blocks, if part is given).
+
+    The sum of minima is the product of the counts in unary, so runs of sketches of like size are held against all
+    larger ones by matrix products. Counts above ``UNARY`` add the lesser of what is above: no pair within t is left out,
+    and those that pass are compared exactly.
+    """
     size = sketches.sum(1, dtype=np.int64)
     order = np.argsort(size, kind="stable")
     h, size = sketches[order], size[order]
     block = None if part is None else part[order]
     comp = np.arange(len(size))
-    for a in range(len(size) - 1):
-        top = int(np.searchsorted(size, size[a] * law.den // law.num, "right"))
-        rest = np.arange(a + 1, top)
-        rest = rest[comp[rest] != comp[a]]
-        if block is not None:
-            rest = rest[block[rest] != block[a]]
-        if not len(rest):
+    tops = np.searchsorted(size, size * law.den // law.num, "right")
+    for lo in range(0, len(size), RUN):
+        hi = min(lo + RUN, len(size))
+        top = int(tops[hi - 1])
+        if (comp[lo:top] == comp[lo]).all():
             continue
-        both = np.minimum(h[a], h[rest]).sum(1, dtype=np.int64)
-        for x in rest[law.den * both >= law.num * (size[a] + size[rest] - both)].tolist():
-            if comp[x] != comp[a]:
-                comp[comp == comp[x]] = comp[a]
+        levels = min(int(h[lo:hi].max()), UNARY)
+        rest = h[lo:top]
+        unary = np.concatenate([rest > v for v in range(levels)], 1).astype(np.float32)
+        both = (unary[: hi - lo] @ unary.T).astype(np.int64)
+        over = np.maximum(rest, levels).sum(1, dtype=np.int64) - levels * BUCKETS
+        exact = not over[: hi - lo].any()
+        if not exact:
+            both += np.minimum(over[: hi - lo, None], over)
+        near = (law.den + law.num) * both >= law.num * (size[lo:hi, None] + size[lo:top])
+        if block is not None:
+            near &= block[lo:hi, None] != block[lo:top]
+        for a in (lo + np.flatnonzero(near.sum(1) > (block is None))).tolist():
+            found = lo + np.flatnonzero(near[a - lo])
+            found = found[(found > a) & (comp[found] != comp[a])]
+            if not exact and len(found):
+                common = np.minimum(h[a], h[found]).sum(1, dtype=np.int64)
+                found = found[law.den * common >= law.num * (size[a] + size[found] - common)]
+            for x in found.tolist():
+                if comp[x] != comp[a]:
+                    comp[comp == comp[x]] = comp[a]
     others = np.flatnonzero(comp != np.arange(len(comp)))
     return list(zip(order[comp[others]].tolist(), order[others].tolist(), strict=True))
 
@@ -424,53 +447,81 @@ def _regions(batches: Iterator[pa.RecordBatch], law: Law, every: bool) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], ["a", "b", "n"])
 
 
-def _distances(what: str, pivots: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Exact distances of a set, or of a sketch, to others."""
+def _distances(what: str, pivots: list[np.ndarray], x: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray]:
+    """Exact distances of a set, or of a sketch, to others; which of them are within t."""
     if what == "sets":
-        common = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x) for p in pivots])
-        return 1 - common / (np.array([len(p) for p in pivots]) + len(x) - common)
-    each = np.array(pivots)
-    low, high = np.minimum(each, x).sum(1, dtype=np.int64), np.maximum(each, x).sum(1, dtype=np.int64)
-    return 1 - low / high
+        low = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x) for p in pivots])
+        high = np.array([len(p) for p in pivots]) + len(x) - low
+    else:
+        each = np.array(pivots)
+        low, high = np.minimum(each, x).sum(1, dtype=np.int64), np.maximum(each, x).sum(1, dtype=np.int64)
+    return 1 - low / high, law.den * low >= law.num * high
 
 
 def _cells(batches: Iterator[pa.RecordBatch], law: Law, what: str) -> Iterator[pa.RecordBatch]:
-    """Rows (p, salt, k, node, home, blob) sorted so that a share's pivots (k >= 0) come first -> (p, k, node, home).
+    """Rows (p, salt, k, node, home, blob) sorted so that a share's pivots (k >= 0) come first -> (p, k, node, home, near, to).
 
     A member is in the cell of its nearest pivot, its home, and in those within 2t of that. Both
     ends of a link are in the home of either, so one cell of all that they share counts as its place.
+    One row of each member, that of its nearest pivot, is marked as near and has the pivots that it links to.
     """
     kind = np.uint64 if what == "sets" else np.uint8
-    key, live, pivots = None, [], []
+    key, live, heads, pivots = None, [], [], []
     window = 2 * (1 - law.share) + 1e-9
     for batch in batches:
-        out: list[tuple[int, int, int, bool]] = []
+        out: list[tuple[int, int, int, bool, bool, list[int]]] = []
         for p, salt, k, node, home, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
             if (p, salt) != key:
-                key, live, pivots = (p, salt), [], []
+                key, live, heads, pivots = (p, salt), [], [], []
             if k >= 0:
                 if blob is not None:
                     live.append(k)
+                    heads.append(node)
                     pivots.append(np.frombuffer(blob, kind))
             elif blob is None or not live:  # nothing is known of it: it goes everywhere
-                out.extend((p, c, node, home and i == 0) for i, c in enumerate(live or [0]))
+                out.extend((p, c, node, home and i == 0, i == 0, []) for i, c in enumerate(live or [0]))
             else:
-                d = _distances(what, pivots, np.frombuffer(blob, kind))
+                d, linked = _distances(what, pivots, np.frombuffer(blob, kind), law)
                 near = int(np.argmin(d))
-                out.extend((p, live[c], node, home and c == near) for c in np.flatnonzero(d <= d[near] + window).tolist())
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["p", "k", "node", "home"])
+                to = [heads[c] for c in np.flatnonzero(linked).tolist()]
+                out.extend((p, live[c], node, home and c == near, c == near, to if c == near else []) for c in np.flatnonzero(d <= d[near] + window).tolist())
+        columns = zip(*out, strict=True) if out else ((),) * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["p", "k", "node", "home", "near", "to"])
 
 
-def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int) -> DataFrame:
-    """Members (p, node, bytes, home) of regions -> the same of Voronoi cells that fit a task or don't shrink."""
-    done, now = [], members
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, lists of pivots that one member links to) -> (p, first of a list, number of its group, first pivot of the group).
+
+    Lists with a pivot in common are one group. A region has ``PIVOTS`` pivots, so few lists.
+    """
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for p, lists in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+            found: list[set[int]] = []
+            for x in map(set, lists):
+                found = [g for g in found if not g & x] + [x.union(*(g for g in found if g & x))]
+            found.sort(key=min)
+            out.extend((p, first, i, min(g)) for i, g in enumerate(found) for first in sorted({x[0] for x in lists} & g))
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["p", "first", "team", "head"])
+
+
+def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int, teams: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Members (p, node, bytes, home) of regions -> the same of Voronoi cells that fit a task or don't shrink, with a column team.
+
+    teams: only components are wanted. Then the links of members to the pivots of a region that doesn't shrink are given
+    as the second table (a, b), and members that they join are a team, of which no two need to be compared. Others are in team -1.
+    """
+    done, now, stars = [], members, None
+    alone = F.lit(-1).alias("team")
     for level in range(ROUNDS):
         count = now.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
         big = count.where((F.col("size") > 2 * block) | (F.col("total") > 2 * BYTES)).where("size > 2").checkpoint()
         if big.isEmpty():
             break
-        done.append(now.join(big.select("p"), "p", "left_anti"))
+        done.append(now.join(big.select("p"), "p", "left_anti").select("p", "node", "bytes", "home", alone))
         now = now.join(big.select("p", "size"), "p")
         # pivots are the members of least hash, so that any cluster may have one; shares of a region hold about ``block`` members
         least = [F.min(F.struct(F.xxhash64("node", F.lit(f"{level}:{j}")), "node"))["node"] for j in range(PIVOTS)]
@@ -480,18 +531,44 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int)
         each = now.select("p", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.lit(-1).alias("k"), "node", "home")
         met = pivots.unionByName(each).join(blobs, "node").select("p", "salt", "k", "node", "home", "hashes")
         met = met.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("k"), "node")
-        cells = met.mapInArrow(lambda b: W.settled(_cells(b, law, what)), "p long, k int, node long, home boolean").checkpoint()
+        cells = met.mapInArrow(lambda b: W.settled(_cells(b, law, what)), "p long, k int, node long, home boolean, near boolean, to array<long>").checkpoint()
         # a region stays whole where its cells have more than half as many pairs as it has
         cell = cells.groupBy("p", "k").agg(F.count(F.lit(1)).cast("double").alias("cell"))
         dense = cell.groupBy("p").agg(F.sum(F.col("cell") * F.col("cell")).alias("pairs")).join(big, "p").where("pairs > 0.5 * size * size").select("p").checkpoint()
-        done.append(now.join(dense, "p", "left_semi").select("p", "node", "bytes", "home"))
+        whole = now.join(dense, "p", "left_semi").select("p", "node", "bytes", "home")
+        if teams and not dense.isEmpty():
+            linked = cells.where("near and size(to) > 0").join(dense, "p", "left_semi").select("p", "node", F.col("to")[0].alias("first"), "to").checkpoint()
+            merged = linked.groupBy("p").agg(F.collect_set("to").alias("lists")).mapInArrow(_merged, "p long, first long, team int, head long").checkpoint()
+            joined = linked.join(merged, ["p", "first"]).select("p", "node", "team", "head").checkpoint()
+            more = joined.select(F.col("head").alias("a"), F.col("node").alias("b"))
+            stars = more if stars is None else stars.unionByName(more)
+            whole = whole.join(joined.select("p", "node", "team"), ["p", "node"], "left").select("p", "node", "bytes", "home", F.coalesce("team", F.lit(-1)).alias("team"))
+            del linked, merged, joined, more
+        else:
+            whole = whole.select("*", alone)
+        done.append(whole)
         fresh = cells.join(dense, "p", "left_anti").select(F.xxhash64("p", "k", F.lit(level)).alias("p"), "node", "home")
         now = fresh.join(now.select("node", "bytes").distinct(), "node").select("p", "node", "bytes", "home").checkpoint()
-        del count, big, chosen, pivots, each, met, cells, cell, dense, fresh
+        del count, big, chosen, pivots, each, met, cells, cell, dense, whole, fresh
         release(now)
+    now = now.select("p", "node", "bytes", "home", alone)
     for rest in done:
         now = now.unionByName(rest)
-    return now
+    return now, stars
+
+
+def tasks(cells: DataFrame, block: int) -> DataFrame:
+    """Members (p, node, bytes, home, team) of cells -> rows (p, i, j, block, node, home) of tasks: a set of block b goes to (b, j) and (i, b).
+
+    A block holds members of one team. Where that isn't -1, it meets the blocks of other teams only.
+    """
+    count = cells.groupBy("p", "team").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BYTES)).cast("int")
+    dealt = count.groupBy("p").agg(F.sum("size").alias("size"), F.sum(blocks).cast("int").alias("blocks"), F.array_sort(F.collect_list(F.struct("team", blocks.alias("own")))).alias("teams")).where("size > 1")
+    dealt = dealt.select("p", "blocks", "teams", F.posexplode("teams").alias("at", "each")).selectExpr("p", "blocks", "each.team as team", "each.own as own", "aggregate(slice(teams, 1, at), 0, (x, y) -> x + y.own) as before")
+    placed = cells.join(dealt, ["p", "team"]).withColumn("block", F.expr("before + cast(pmod(xxhash64(node), own) as int)"))
+    placed = placed.selectExpr("p", "node", "home", "block", "explode(filter(sequence(0, blocks - 1), o -> team < 0 or o < before or o >= before + own)) as o")
+    return placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "home")
 
 
 def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str, block: int = 1024, every: bool = True) -> DataFrame:
@@ -517,24 +594,25 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
         # others that pass the filter go with the join on node
         return rows.mapInArrow(lambda b: W.settled(_nodes(b, law, what, sent)), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
-    def dealt(of: DataFrame, what: str) -> DataFrame:
-        """Members (p, node) of regions -> rows of tasks: a set of block b goes to (b, j) and (i, b)."""
+    def dealt(of: DataFrame, what: str) -> tuple[DataFrame, DataFrame | None]:
+        """Members (p, node) of regions -> rows of tasks, with their sets or sketches; links that are known without them."""
         size = F.lit(BUCKETS) if what == "sketches" else F.col("n") * 8
         known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
         held = blobs(of, what).join(known.select("node", "copies"), "node").checkpoint()
-        cells = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes"), F.lit(True).alias("home")), held, law, what, block)
-        count = cells.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total")).where("size > 1")
-        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BYTES)).cast("int")
-        placed = cells.join(count, "p").select("p", "node", "home", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        placed = placed.select("p", "node", "home", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        placed = placed.select("p", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "home")
-        met = placed.join(held, "node").select("p", "i", "j", "block", "node", "hashes", "copies", "home")
-        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node")
-
-    near = components(dealt(members, "sketches").mapInArrow(lambda b: W.settled(_near(b, law)), "a long, b long"))
+        # every link between sets may be wanted, but of links by sketches only components are
+        cells, stars = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes"), F.lit(True).alias("home")), held, law, what, block, what == "sketches" or not every)
+        met = tasks(cells, block).join(held, "node").select("p", "i", "j", "block", "node", "hashes", "copies", "home")
+        return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node"), stars
+
+    rows_near, stars = dealt(members, "sketches")
+    near = rows_near.mapInArrow(lambda b: W.settled(_near(b, law)), "a long, b long")
+    near = components(near if stars is None else near.unionByName(stars))
     regions = near.select(F.col("root").alias("p"), "node").unionByName(near.select(F.col("root").alias("p"), F.col("root").alias("node")).distinct()).checkpoint()
+    del rows_near, stars, near
     release(regions)
-    return dealt(regions, "sets").mapInArrow(lambda b: W.settled(_regions(b, law, every)), "a long, b long, n long").checkpoint()
+    rows_met, stars = dealt(regions, "sets")
+    met = rows_met.mapInArrow(lambda b: W.settled(_regions(b, law, every)), "a long, b long, n long")
+    return (met if stars is None else met.unionByName(stars.withColumn("n", F.lit(0).cast("long")))).checkpoint()
 
 
 def _sizes(df: DataFrame, law: Law, id_col: str, text_col: str) -> DataFrame:

@@ -221,3 +221,56 @@ def test_very_long_text_and_repeated_rows(spark):
     got = sorted((r.doc_id, r.n_links, r.component_id) for r in pj.join(df, pj.Law(3, 90, 100)).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3)]
     assert pj.keep_one(df).count() == 2
+
+
+def family(n, changes, seed=7):
+    """n near copies of one text, each with some words of its own, and a few texts that are like none."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(80), changes):
+            w[at] = f"x{r.random()}"
+        rows.append((i, " ".join(w)))
+    return rows + [(n + i, " ".join(f"z{i}y{j}" for j in range(50))) for i in range(3)]
+
+
+def test_a_family_is_not_dealt_into_pairs_of_blocks(spark, monkeypatch):
+    """Members of a team meet no other; rows of tasks were as the square of a family."""
+    made = {}
+    dealt = pj.tasks
+
+    def counted(cells, block):
+        out = dealt(cells, block)
+        made.setdefault(cells.count(), []).append(out.count())
+        return out
+
+    monkeypatch.setattr(pj, "tasks", counted)
+    rows = family(300, 3)
+    sizes = [(t, pj.links) for t in (150, 300)]
+    for n, links in sizes:
+        df = spark.createDataFrame([(i, t) for i, t in rows if i < n or i >= 300], "doc_id long, text string")
+        law = pj.Law(1, 80, 100)
+        found = pj._placed(s := pj._sizes(df, law, "doc_id", "text"), links(df, s, law, "doc_id", "text", 10, every=False))
+        assert sorted(x.component_id for x in found.collect()) == [0] * n + [300, 301, 302]
+    # a set would go to 15 blocks of 150 and to 30 of 300
+    assert max(made) >= 300 and all(sum(x) <= 2 * n for n, x in made.items())
+
+
+@pytest.mark.parametrize("changes", [8])
+def test_teams_lose_no_link(spark, changes):
+    """Pairs lie on both sides of the threshold, so some members link to no pivot, or to pivots of one team only by others."""
+    rows = family(90, changes, changes)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    law = pj.Law(1, 80, 100)
+    sizes = pj._sizes(df, law, "doc_id", "text")
+    for every in (False, True):
+        found = pj._placed(sizes, pj.links(df, sizes, law, "doc_id", "text", 8, every))
+        assert sorted((x.doc_id, x.n, x.component_id) for x in found.collect()) == brute(rows, 1, 80, 100)
+
+
+def test_lists_with_a_common_pivot_are_one_team():
+    batch = pj.pa.RecordBatch.from_arrays([pj.pa.array([1, 2]), pj.pa.array([[[5, 3], [9], [3], [7, 9], [4, 5]], [[-2]]])], ["p", "lists"])
+    got = [x for out in pj._merged(iter([batch])) for x in zip(*(out.column(i).to_pylist() for i in range(4)))]
+    assert got == [(1, 3, 0, 3), (1, 4, 0, 3), (1, 5, 0, 3), (1, 7, 1, 7), (1, 9, 1, 7), (2, -2, 0, -2)]
