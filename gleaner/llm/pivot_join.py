@@ -554,7 +554,7 @@ def split(members: DataFrame, blobs: DataFrame, law: Law, what: str, block: int,
     now = now.select("p", "node", "bytes", "home", alone)
     for rest in done:
         now = now.unionByName(rest)
-    return now, stars
+    return now.checkpoint() if done else now, stars
 
 
 def tasks(cells: DataFrame, block: int) -> DataFrame:
@@ -583,24 +583,31 @@ def links(df: DataFrame, sizes: DataFrame, law: Law, id_col: str, text_col: str,
     shared = spark.sparkContext.broadcast(wanted(least.select("sig")))
     parts = rows.select("text").mapInArrow(lambda b: W.settled(_nodes(b, law, "parts", shared)), "sig long, node long")
     edges = parts.join(least, "sig").where("node <> p").select("node", "p").distinct().checkpoint()
+    shared.destroy()  # else the driver and each executor keep it for as long as Python has the plan
     members = edges.unionByName(edges.select(F.col("p").alias("node"), "p").distinct())
     del heads, least, parts
     release(members)
 
+    # tables that several plans below read are written once; else each plan would shuffle for them again
+    known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("doc_id")).alias("key")).checkpoint()
+
     def blobs(of: DataFrame, what: str) -> DataFrame:
-        """(node, hashes) from the texts of one document for each node."""
-        picked = sizes.join(of.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
+        """(node, hashes, copies) from the texts of one document for each node."""
+        picked = known.join(of.select("node").distinct(), "node", "left_semi")
         sent = spark.sparkContext.broadcast(wanted(picked.select("key")))
         # others that pass the filter go with the join on node
-        return rows.mapInArrow(lambda b: W.settled(_nodes(b, law, what, sent)), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        found = rows.mapInArrow(lambda b: W.settled(_nodes(b, law, what, sent)), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        found = found.join(known.select("node", "copies"), "node").checkpoint()
+        sent.destroy()
+        return found
 
     def dealt(of: DataFrame, what: str) -> tuple[DataFrame, DataFrame | None]:
         """Members (p, node) of regions -> rows of tasks, with their sets or sketches; links that are known without them."""
         size = F.lit(BUCKETS) if what == "sketches" else F.col("n") * 8
-        known = sizes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-        held = blobs(of, what).join(known.select("node", "copies"), "node").checkpoint()
+        held = blobs(of, what)
+        placed = of.join(known, "node").select("p", "node", size.cast("long").alias("bytes"), F.lit(True).alias("home")).checkpoint()
         # every link between sets may be wanted, but of links by sketches only components are
-        cells, stars = split(of.join(known, "node").select("p", "node", size.cast("long").alias("bytes"), F.lit(True).alias("home")), held, law, what, block, what == "sketches" or not every)
+        cells, stars = split(placed, held, law, what, block, what == "sketches" or not every)
         met = tasks(cells, block).join(held, "node").select("p", "i", "j", "block", "node", "hashes", "copies", "home")
         return met.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "node"), stars
 
@@ -658,7 +665,7 @@ def keep_one(df: DataFrame, law: Law = Law(), id_col: str = "doc_id", text_col:
     sizes = _sizes(marked, law, "__id", text_col)
     # only components are needed
     met = links(marked, sizes, law, "__id", text_col, every=False)
-    found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id.row").alias("__keep")).agg((F.count_if(F.col("n") > 0) > 1).alias("__many"))
+    found = _placed(sizes, met).where("doc_id = component_id").groupBy(F.col("doc_id.row").alias("__keep")).agg((F.count_if(F.col("n") > 0) > 1).alias("__many")).checkpoint()
     kept = df.withColumn("__row", F.xxhash64(id_col, text_col)).join(found, F.col("__row") == F.col("__keep"))
     # only rows that have an equal one are compared; the texts of the rest are not shuffled for it
     again = kept.where("__many").dropDuplicates(["__row"])
